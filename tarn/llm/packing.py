@@ -13,12 +13,13 @@ table gives no rows; ties in the dot product go to the larger class; extra colum
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,66 +27,113 @@ from . import textops as tx
 from .runtime import Scratch, ship
 
 END_ID = 2
-#: Distinct words whose ids a worker keeps.
-MOST_WORDS = 300_000
+#: Distinct parts of words whose ids a worker keeps; with more it starts anew.
+MOST_WORDS = 1_200_000
 #: Rests in one bin of work.
 WORK = 20_000
-SPACES = " \t\n\v\f\r"
 
 
 class Tokens:
-    """Ids of texts. White space separates words for this vocabulary, so each distinct word is encoded once and kept."""
+    """Ids of texts, each distinct part of a word encoded once and kept.
+
+    White space separates words for this vocabulary. Words of ASCII without an apostrophe are cut further where the
+    vocabulary's own rule cuts them: between letters, single digits and runs of other characters. Case doesn't matter to it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
-        self.number: dict[bytes, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
         self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [np.array(e.ids, np.uint32) for e in self.encoder.encode_batch(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        # Of a plain part only its bytes are to be shown and merged.
+        merge = self.encoder.model.tokenize
+        ids = [[t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN))] if _PLAIN.fullmatch(x) else None for x in parts]
+        others = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(others, self.encoder.encode_batch([parts[i] for i in others], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.bounds) - 1
-        self.flat = np.concatenate([self.flat, *ids])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, sizes.sum())])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        keys = np.concatenate([self.keys, keys])
-        rank = np.concatenate([self.rank, base + np.arange(len(words))])
-        order = np.argsort(keys)
-        self.keys, self.rank = keys[order], rank[order]
+        to = np.searchsorted(self.keys, keys)
+        self.keys, self.rank = np.insert(self.keys, to, keys), np.insert(self.rank, to, base + np.arange(len(parts)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block in a row, their bounds), each text with its end id."""
         if len(self.keys) > MOST_WORDS:
             self.forget()
-        words = tx.Words(data, offsets)
-        h = words.hashes(lower=False)
-        distinct, first = np.unique(h, return_index=True)
+        low = tx.LOWER[data]
+        start, end, per_text = parts_of(low, offsets)
+        h = tx.SpanHash(tx.byte_values(low))(start, end)
+        distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
             new = self.keys[at] != distinct
         else:
             new = np.ones(len(distinct), bool)
         if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first[new]], words.end[first[new]], strict=True)])
+            raw = low.tobytes()
+            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
         n = len(offsets) - 1
-        rank = self.rank[np.searchsorted(self.keys, h)] if len(h) else np.zeros(0, np.int64)
-        size = (self.bounds[rank + 1] - self.bounds[rank]) if len(h) else np.zeros(0, np.int64)
+        rank = self.rank[np.searchsorted(self.keys, distinct)][of] if len(h) else np.zeros(0, np.int64)
+        size = self.bounds[rank + 1] - self.bounds[rank] if len(h) else np.zeros(0, np.int64)
         total = np.zeros(len(h) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         # One place more for the end id of each text.
-        to = total[:-1] + words.text_of
+        text = np.repeat(np.arange(n), per_text)
         flat = np.full(total[-1] + n, END_ID, np.uint32)
-        step = np.arange(total[-1]) - np.repeat(total[:-1], size)
-        flat[np.repeat(to, size) + step] = self.flat[np.repeat(self.bounds[rank], size) + step] if len(h) else 0
-        return flat, np.concatenate([[0], total[words.bounds[1:]] + np.arange(1, n + 1)])
-
-    def forget(self) -> None:
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(h):
+            step = np.arange(total[-1]) - np.repeat(total[:-1], size)
+            flat[np.repeat(total[:-1] + text, size) + step] = self.flat[np.repeat(self.bounds[rank], size) + step]
+        return flat, np.concatenate([[0], total[np.cumsum(per_text)] + np.arange(1, n + 1)])
+
+
+def parts_of(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of the parts of words of case-folded texts, and the number of parts of each text."""
+    words = tx.Words(low, offsets)
+    kind = _KIND[low]
+    # Small Latin letters with marks, two bytes each, are letters to the rule as well.
+    lead = np.flatnonzero(low[:-1] == 0xC3)
+    lead = lead[(low[lead + 1] >= 0x9F) & (low[lead + 1] != 0xB7)]
+    kind[lead], kind[lead + 1] = 1, 1
+    # Words with anything beyond plain ASCII are left whole.
+    odd = np.zeros(len(low) + 1, np.int32)
+    np.cumsum(kind == 4, out=odd[1:])
+    plain = odd[words.end] == odd[words.start]
+    cut = np.zeros(len(low) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    inner = np.zeros(len(low) + 1, np.int32)
+    inner[words.start[plain] + 1] += 1
+    inner[words.end[plain]] -= 1
+    middle = np.flatnonzero((np.cumsum(inner) > 0) & cut)
+    start = np.sort(np.concatenate([words.start, middle]))
+    end = np.sort(np.concatenate([words.end, middle]))
+    return start, end, np.diff(np.searchsorted(start, offsets))
+
+
+#: Parts of one kind of characters, as the normaliser and the splitter leave them.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: The byte level: a printable byte shows as itself, the others in turn from U+0100 on. Here as a Latin-1 table.
+_SHOWN = [c if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174 else None for c in range(256)]
+_LATER = iter(range(256, 512))
+_SHOWN = [next(_LATER) if c is None else c for c in _SHOWN]
+#: 1 letter, 2 digit, 3 other ASCII, 4 what the rule may join or cut in its own way.
+_KIND = np.array([4 if c >= 128 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.int8)
+_KEPT: dict[str, Tokens] = {}
+
+
+def coder_of(path: str) -> Tokens:
+    """One for each vocabulary and worker, so its words last over tasks."""
+    if path not in _KEPT:
+        _KEPT[path] = Tokens(path)
+    return _KEPT[path]
 
 
 PIECE = "doc_id bigint, part bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss bigint"
@@ -96,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        coder = Tokens(tokenizer)
+        coder = coder_of(tokenizer)
         for batch in batches:
             for lo, data, offsets in tx.blocks(batch.column(1)):
                 flat, bounds = coder.encode(data, offsets)

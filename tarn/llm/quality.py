@@ -67,8 +67,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         twice[:-1] |= same
         hit = at[by[twice]]
         cover = np.zeros(len(words) + 1, np.int32)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + WINDOW, -1)
+        cover[hit] += 1  # each hit is another place
+        cover[hit + WINDOW] -= 1
         repeat_words = np.bincount(text[np.cumsum(cover[:-1]) > 0], minlength=n)
 
     total = lambda flags: tx.per_text_sum(flags, offsets)
