@@ -32,6 +32,8 @@ BUCKETS = 1 << 18
 #: Words of 64 bits of the bitmap that spares documents without candidates the work of a join; fixed.
 BITMAP = 1 << 16
 PIVOT_ROUNDS = 3
+#: Open shingles of a document that are carried to give each pair once.
+LEADING = 16
 #: A shingle in more documents than this is dealt to several tasks.
 HOT = 20_000
 
@@ -191,6 +193,30 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").mapInPandas(run, "a bigint, b bigint")
 
 
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of rows (h, doc, n, pos, c) that share a shingle and not a component, nearly always once.
+
+    The largest component of a shingle never meets itself: one side has the others only. A pair with a common shingle
+    among the first LEADING of both comes from the earliest such one only.
+    """
+    sizes = rows.groupBy("h", "c").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("h").agg(F.max(F.struct("m", "c")).alias("top")).select("h", F.col("top.c").alias("top"))
+    lead = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("l")).select("doc", F.slice(F.transform("l", lambda x: x["h"]), 1, LEADING).alias("lead"))
+    rows = rows.join(lead, "doc").join(largest, "h")
+    one = rows.where("c <> top")
+    other = rows.select("h", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("c").alias("yc"), F.col("lead").alias("ylead"), F.col("top").alias("ytop"))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("yp"))
+    common = F.array_intersect("lead", "ylead")
+    pairs = one.join(other, "h").where(
+        (F.col("c") != F.col("yc"))
+        & ((F.col("yc") == F.col("ytop")) | (F.col("doc") < F.col("y")))
+        & similar_lengths(F.col("n"), F.col("yn"))
+        & (rest >= least_overlap(F.col("n"), F.col("yn")))
+        & ((F.size(common) == 0) | (F.get(common, F.lit(0)) == F.col("h")))
+    )
+    return pairs.select(F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), "y", "yn", "yp")
+
+
 def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     spark = docs.sparkSession
@@ -222,11 +248,8 @@ def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
         if step < PIVOT_ROUNDS:
             pairs = labelled.join(open_.select("h", "p"), "h").where("c <> p.c").select(F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("p.doc").alias("y"), F.col("p.n").alias("yn"), F.col("p.pos").alias("yp"))
         else:
-            left = labelled.join(open_.select("h"), "h", "left_semi")
-            other = left.select("h", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("c").alias("yc"))
-            pairs = left.join(other, "h").where((F.col("doc") < F.col("y")) & (F.col("c") != F.col("yc")) & similar_lengths(F.col("n"), F.col("yn")))
-            pairs = pairs.select(F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), "y", "yn", "yp")
-        rest = 1 + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
+            pairs = cross_pairs(labelled.join(open_.select("h"), "h", "left_semi"))
+        rest = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
         pairs = pairs.where(similar_lengths(F.col("xn"), F.col("yn")) & (rest >= least_overlap(F.col("xn"), F.col("yn"))))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
