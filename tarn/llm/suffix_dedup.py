@@ -34,7 +34,7 @@ SPAN, GRAM = 200, 64
 #: Gram positions in a window, and bytes of a window that can stand before or behind its anchor's start.
 PLACES = SPAN - GRAM + 1
 #: Bytes of contexts in one suffix array; contexts of one anchor in one shard.
-SHARD_BYTES, SHARD_CONTEXTS = 3 << 20, 4_000
+SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 4_000
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
 
@@ -73,12 +73,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return text, at - offsets[text], tx.signed(grams[at]), tx.signed(context), at - lo, hi - at
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffixes in order, place of each suffix in it, first 8 bytes of each as a number).
+def suffix_order(data: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in data that `window` marks, in the order of the 256 bytes from there; whether each equals the
+    one before it in all of them; the first 8 bytes of each place of data as a number). A marked place has SPAN bytes after it.
 
     Larsson and Sadakane's refinement: suffixes are ranked by their first 8 bytes, then groups of equal
-    rank are sorted by the rank of what follows, twice as deep each time, until none is left. The order is
-    total, as Kasai's scan needs.
+    rank are sorted by the rank of what follows, twice as deep each time, groups of one no more. The last doubling
+    is for the marked places only.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -89,88 +90,84 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = word[order]
     head = np.ones(n, bool)
     head[1:] = key[1:] != key[:-1]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     h = 8
-    while True:
+    while h < 128:
         single = head.copy()
         single[:-1] &= head[1:]
         todo = np.flatnonzero(~single)  # places of the order in unsorted groups
         if not len(todo):
             break
         at = order[todo]
-        then = rank[np.minimum(at + h, n)] + 1
-        sub = np.argsort((rank[at] << 32) | then, kind="stable")
-        at, then = at[sub], then[sub]
+        key = (rank[at].astype(np.int64) << 32) | (rank[np.minimum(at + h, n)] + 1)
+        sub = np.argsort(key)
+        at, key = at[sub], key[sub]
         order[todo] = at
         new = np.ones(len(todo), bool)
-        group = rank[at]
-        new[1:] = (group[1:] != group[:-1]) | (then[1:] != then[:-1])
+        new[1:] = key[1:] != key[:-1]
         head[todo] = new
-        fresh = np.maximum.accumulate(np.where(new, todo, 0))
-        rank[at] = fresh
+        rank[at] = np.maximum.accumulate(np.where(new, todo, 0))
         h *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place, word
+    at = np.flatnonzero(window)
+    key = (rank[at].astype(np.int64) << 32) | (rank[np.minimum(at + 128, n)] + 1)
+    sub = np.argsort(key)
+    key = key[sub]
+    same = np.zeros(len(at), bool)
+    same[1:] = key[1:] == key[:-1]
+    return at[sub], same, word
 
 
-def common_prefixes(order: np.ndarray, place: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = SPAN) -> np.ndarray:
-    """Common prefix, up to `most`, of each suffix (by its start) with the one before it in the order.
+def common_prefixes(ordered: np.ndarray, same: np.ndarray, word: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Common prefix, up to SPAN, of each place of `ordered` with the one before it.
 
-    Kasai's scan: the prefix of the next suffix of a text is at most one byte shorter. All texts go in
-    lockstep, each at its own byte, 8 bytes a comparison. What lies beyond a text's end may count: callers look
-    at suffixes with `most` bytes left only, and at their neighbours' likewise.
+    Kasai's scan: the prefix of the next place of a text is at most one byte shorter, if the neighbour's next
+    place is marked too and the two weren't tied. All texts go in lockstep, 8 bytes a comparison; starts and sizes: the
+    first marked place of each text and how many follow in a row. Tied neighbours have SPAN bytes in common.
     """
-    n = len(order)
-    out = np.zeros(n, np.int64)
-    size = ends - starts
-    by = np.argsort(-size, kind="stable")
-    starts, size = starts[by], size[by]
+    place = np.full(len(word) + 1, -1, np.int64)
+    place[ordered] = np.arange(len(ordered))
+    out = np.zeros(len(ordered), np.int64)
+    by = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by], sizes[by]
     h = np.zeros(len(starts), np.int64)
-    wide = np.concatenate([word, np.zeros(most + 16, np.uint64)])
-    for t in range(int(size[0]) if len(size) else 0):
-        m = int(np.searchsorted(-size, -t, "left"))  # texts longer than t come first
-        if not m:
-            break
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        m = int(np.searchsorted(-sizes, -t, "left"))  # texts with more than t places come first
         i = starts[:m] + t
         p = place[i]
-        j = order[np.maximum(p - 1, 0)]
+        j = ordered[np.maximum(p - 1, 0)]
+        tied = same[p]
         g = np.maximum(h[:m] - 1, 0)
-        going = np.flatnonzero(p > 0)
+        going = np.flatnonzero((p > 0) & ~tied)
         g[p == 0] = 0
         while len(going):
-            differ = wide[i[going] + g[going]] ^ wide[j[going] + g[going]]
-            same = 8 - np.searchsorted(_BYTES, differ, "right")  # equal leading bytes
-            g[going] += same
-            going = going[(same == 8) & (g[going] < most)]
-        h[:m] = g = np.minimum(np.minimum(g, most), n - np.maximum(i, j))
-        out[i] = g
+            # Words start SPAN - 8 bytes on at the latest: every marked place has as many.
+            step = np.minimum(g[going], SPAN - 8)
+            equal = 8 - np.searchsorted(_BYTES, word[i[going] + step] ^ word[j[going] + step], "right")
+            g[going] = step + equal
+            going = going[(equal == 8) & (g[going] < SPAN)]
+        g[tied] = SPAN
+        out[p] = g
+        h[:m] = np.where(tied | (place[j + 1] < 0), 0, g)
     return out
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, sure: np.ndarray):
-    """(windows, run of each, whether each run is repeated): windows by start in data.
+    """(windows in suffix order, run of each, whether each run is repeated): windows by start in data.
 
     ids: a number of the corpus position of each text's first byte; sure: texts that occur twice anyway.
     """
-    order, place, word = suffix_array(data)
-    common = common_prefixes(order, place, word, starts, ends)
     owner = np.repeat(np.arange(len(starts)), ends - starts)
-    position = np.arange(len(data))
-    whole = ends[owner] - position >= SPAN
-    ordered = order[whole[order]]  # windows in suffix order
-    # Between two windows lie only suffixes near a text's end; both share SPAN bytes if all neighbours on the way do.
-    run = np.cumsum(common[order] < SPAN)[whole[order]]
-    new = np.ones(len(ordered), bool)
-    new[1:] = run[1:] != run[:-1]
-    run = np.cumsum(new) - 1
-    owner = owner[ordered]
-    identity = ids[owner] + (ordered - starts[owner])
-    first = np.flatnonzero(new)
+    window = ends[owner] - np.arange(len(data)) >= SPAN
+    ordered, same, word = suffix_order(data, window)
+    common = common_prefixes(ordered, same, word, starts, np.maximum(ends - starts - SPAN + 1, 0))
+    run = np.cumsum(common < SPAN) - 1
+    first = np.flatnonzero(common < SPAN)
     if not len(first):
         return ordered, run, np.zeros(0, bool)
+    owner = owner[ordered]
+    identity = ids[owner] + (ordered - starts[owner])
     low, high = np.minimum.reduceat(identity, first), np.maximum.reduceat(identity, first)
     return ordered, run, (low != high) | np.logical_or.reduceat(sure[owner], first)
 
