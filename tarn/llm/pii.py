@@ -32,7 +32,12 @@ KINDS = (("email", EMAIL), ("date", DATE_ISO), ("date", DATE_SLASH), ("ipv4", IP
 ANY = "|".join(p for _, p in KINDS)
 
 
-def feistel(values: Column, radices: Column, tweak: str, key: str) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def feistel(values: Column, radices: Column, tweak: Column, key: str) -> Column:
     """Permute an array of ints, each below its radix: ROUNDS rounds, each adds a keyed hash of one half to the other."""
     n = F.size(values)
     half = F.floor(n / 2).cast("int")
@@ -40,17 +45,19 @@ def feistel(values: Column, radices: Column, tweak: str, key: str) -> Column:
     def one(acc: Column, i: Column) -> Column:
         low = (i % 2) == 0  # this round changes the first half
         other = F.when(low, F.slice(acc, half + 1, n - half)).otherwise(F.slice(acc, 1, half))
-        noise = F.sha2(F.concat_ws(",", F.lit(key), F.lit(tweak), i.cast("string"), n.cast("string"), F.transform(other, lambda x: x.cast("string"))).cast("binary"), 512)
+        noise = F.sha2(F.concat_ws(",", F.lit(key), tweak, i.cast("string"), n.cast("string"), F.transform(other, lambda x: x.cast("string"))).cast("binary"), 512)
+
+        def moved(noise: Column) -> Column:
+            def at(x: Column, k: Column) -> Column:
+                place = F.when(low, k).otherwise(k - half)
+                word = F.conv(F.substring(noise, (place % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.when((k < half) == low, (x + word + F.floor(place / 32).cast("int")) % F.get(radices, k)).otherwise(x).cast("int")
 
-        def moved(x: Column, k: Column) -> Column:
-            at = F.when(low, k).otherwise(k - half)
-            mine = F.when(low, k < half).otherwise(k >= half)
-            word = F.conv(F.substring(F.concat(noise, noise), (at % 32) * 4 + 1, 4), 16, 10).cast("int")
-            return F.when(mine, (x + word + F.floor(at / 32).cast("int")) % F.get(radices, k)).otherwise(x).cast("int")
+            return F.transform(acc, at)
 
-        return F.transform(acc, moved)
+        return let(noise, moved)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values.cast("array<int>"), one)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one)
 
 
 def _chars(c: Column) -> Column:
@@ -69,9 +76,9 @@ def _refill(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced, in order, by those of `digits`, a string of as many."""
     step = F.aggregate(
         _chars(shape),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda a, x: F.when(x.between("0", "9"), F.struct(F.concat(a["out"], F.substring(digits, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
-            F.struct(F.concat(a["out"], x).alias("out"), a["at"].alias("at"))
+        F.struct(F.lit("").alias("out"), digits.alias("left")),
+        lambda a, x: F.when(x.between("0", "9"), F.struct(F.concat(a["out"], F.substring(a["left"], 1, 1)).alias("out"), F.substring(a["left"], 2, 1 << 20).alias("left"))).otherwise(
+            F.struct(F.concat(a["out"], x).alias("out"), a["left"].alias("left"))
         ),
     )
     return step["out"]
@@ -79,98 +86,117 @@ def _refill(shape: Column, digits: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Luhn sum of an array of digits, the last being the check digit."""
-    n = F.size(digits)
 
     def weighed(x: Column, i: Column) -> Column:
         twice = x * 2
-        return F.when((n - i) % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(x)
+        return F.when((F.size(digits) - i) % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(x)
 
     return F.aggregate(F.transform(digits, weighed), F.lit(0), lambda a, x: (a + x).cast("int"))
 
 
-def card(c: Column, key: str) -> tuple[Column, Column]:
-    d = _digits(c)
-    ok = luhn(d) % 10 == 0
-    body = F.slice(d, 2, F.size(d) - 2)  # the first digit names the scheme
-    moved = F.concat(F.slice(d, 1, 1), feistel(body, F.transform(body, lambda _: F.lit(10)), "card", key))
-    check = (10 - luhn(F.concat(moved, F.array(F.lit(0)))) % 10) % 10
-    return ok, _refill(c, F.concat(_text(moved), check.cast("string")))
+# Reading: each kind's values, their radices, and a number that stays as it is (`fixed`). Null where a candidate isn't valid.
+
+
+def _read(kind: str, ok: Column, values: Column, radices: Column, fixed: Column | None = None) -> Column:
+    kept = F.struct(F.lit(kind).alias("kind"), values.cast("array<int>").alias("v"), radices.cast("array<int>").alias("r"), (F.lit(0) if fixed is None else fixed).cast("int").alias("fixed"))
+    return F.when(ok, kept)
+
 
+def read_card(c: Column) -> Column:
+    """All digits but the first, which names the scheme, and the check digit."""
+    return let(_digits(c), lambda d: _read("card", luhn(d) % 10 == 0, F.slice(d, 2, F.size(d) - 2), F.transform(F.slice(d, 2, F.size(d) - 2), lambda _: F.lit(10)), F.get(d, F.lit(0))))
 
-def ipv4(c: Column, key: str) -> tuple[Column, Column]:
-    octets = F.transform(F.split(c, "\\."), lambda x: x.cast("int"))
-    ok = F.forall(octets, lambda x: x <= 255) & ~F.exists(F.split(c, "\\."), lambda x: (F.length(x) > 1) & x.startswith("0"))
-    return ok, F.array_join(F.transform(feistel(octets, F.transform(octets, lambda _: F.lit(256)), "ipv4", key), lambda x: x.cast("string")), ".")
 
+def read_ipv4(c: Column) -> Column:
+    parts = F.split(c, "\\.")
+    octets = F.transform(parts, lambda x: x.cast("int"))
+    return _read("ipv4", F.forall(octets, lambda x: x <= 255) & ~F.exists(parts, lambda x: (F.length(x) > 1) & x.startswith("0")), octets, F.array(*[F.lit(256)] * 4))
 
-def ssn(c: Column, key: str) -> tuple[Column, Column]:
-    p = F.transform(F.split(c, "-"), lambda x: x.cast("int"))
-    area, group, serial = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))
-    ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    values = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
-    q = feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), "ssn", key)
-    a = F.get(q, F.lit(0)) + 1
-    area2 = F.when(a >= 666, a + 1).otherwise(a)
-    return ok, F.concat_ws("-", F.lpad(area2.cast("string"), 3, "0"), F.lpad((F.get(q, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(q, F.lit(2)) + 1).cast("string"), 4, "0"))
 
+def read_ssn(c: Column) -> Column:
+    def of(p: Column) -> Column:
+        area, group, serial = (F.get(p, F.lit(i)) for i in range(3))
+        ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        return _read("ssn", ok, F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)))
 
-def phone(c: Column, key: str) -> tuple[Column, Column]:
+    return let(F.transform(F.split(c, "-"), lambda x: x.cast("int")), of)
+
+
+def read_phone(c: Column) -> Column:
     """The last ten digits; a country code stays. Area codes not in use are taken too: they are written as numbers of people."""
-    every = F.regexp_replace(c, "[^0-9]", "")
-    code = F.substring(every, F.lit(1), F.length(every) - 10)
-    d = _digits(F.right(every, F.lit(10)))
-    return F.lit(True), _refill(c, F.concat(code, _text(feistel(d, F.transform(d, lambda _: F.lit(10)), "phone", key))))
+    return _read("phone", F.lit(True), _digits(F.right(F.regexp_replace(c, "[^0-9]", ""), F.lit(10))), F.array(*[F.lit(10)] * 10))
+
+
+def _read_day(day: Column, kind_fixed: Column) -> Column:
+    """A day among the 65,536 from 1900-01-01 on."""
+
+    def of(at: Column) -> Column:
+        return _read("date", at.between(0, 65535), F.array(F.floor(at / 256), at % 256), F.array(F.lit(256), F.lit(256)), kind_fixed)
 
+    return let(F.unix_date(day) + 25567, of)
 
-def _day(days: Column, key: str) -> Column:
-    """Permute a day among the 65,536 of its block; 1900-01-01 starts one."""
-    at = days + 25567
-    block, place = F.floor(at / 65536).cast("int"), F.pmod(at, F.lit(65536))
-    q = feistel(F.array(F.floor(place / 256).cast("int"), (place % 256).cast("int")), F.array(F.lit(256), F.lit(256)), "date", key)
-    return F.date_from_unix_date(block * 65536 + F.get(q, F.lit(0)) * 256 + F.get(q, F.lit(1)) - 25567)
 
+def read_date_iso(c: Column) -> Column:
+    return _read_day(F.try_to_date(c, "yyyy-MM-dd"), F.lit(0))
 
-def date_iso(c: Column, key: str) -> tuple[Column, Column]:
-    day = F.try_to_date(c, "yyyy-MM-dd")
-    ok = day.isNotNull() & (day >= F.lit("1900-01-01").cast("date")) & (day < F.lit("2079-06-07").cast("date"))
-    return ok, F.date_format(_day(F.unix_date(day), key), "yyyy-MM-dd")
 
+def read_date_slash(c: Column) -> Column:
+    """Day first (fixed: 2) if the first number is above 12, month first (1) otherwise."""
 
-def date_slash(c: Column, key: str) -> tuple[Column, Column]:
-    """Day first if the first number is above 12, month first otherwise."""
-    p = F.split(c, "/")
-    a, b = F.get(p, F.lit(0)).cast("int"), F.get(p, F.lit(1)).cast("int")
-    month, dom = F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)
-    day = F.try_to_date(F.concat_ws("-", F.get(p, F.lit(2)), F.lpad(month.cast("string"), 2, "0"), F.lpad(dom.cast("string"), 2, "0")), "yyyy-MM-dd")
-    ok = day.isNotNull() & (day >= F.lit("1900-01-01").cast("date")) & (day < F.lit("2079-06-07").cast("date"))
-    moved = _day(F.unix_date(day), key)
-    m, d = F.date_format(moved, "MM"), F.date_format(moved, "dd")
-    first = F.when((a > 12) & (F.dayofmonth(moved) > 12), F.concat_ws("/", d, m)).otherwise(F.concat_ws("/", m, d))
-    return ok, F.concat_ws("/", first, F.date_format(moved, "yyyy"))
+    def of(p: Column) -> Column:
+        first, second = F.lpad(F.get(p, F.lit(0)), 2, "0"), F.lpad(F.get(p, F.lit(1)), 2, "0")
+        by_day = F.get(p, F.lit(0)).cast("int") > 12
+        text = F.concat_ws("-", F.get(p, F.lit(2)), F.when(by_day, second).otherwise(first), F.when(by_day, first).otherwise(second))
+        return _read_day(F.try_to_date(text, "yyyy-MM-dd"), F.when(by_day, 2).otherwise(1))
 
+    return let(F.split(c, "/"), of)
 
-def email(c: Column, key: str) -> tuple[Column, Column]:
-    """Letters and digits of the local part, each within its class; the domain, without a full stop after it, stays."""
-    local = F.lower(F.substring_index(c, "@", 1))
+
+def read_email(c: Column) -> Column:
+    """Letters and digits of the local part in small letters, each within its class; the domain stays."""
     domain = F.substring_index(c, "@", -1)
-    ok = domain.rlike(r"^[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\.?$") & local.rlike("[a-z0-9]")
-    ch = _chars(local)
-    radix = F.transform(ch, lambda x: F.when(x.between("0", "9"), 10).when(x.between("a", "z"), 26).otherwise(1))
-    value = F.transform(ch, lambda x: F.when(x.between("0", "9"), F.ascii(x) - 48).when(x.between("a", "z"), F.ascii(x) - 97).otherwise(0))
-    q = feistel(value, radix, "email", key)
-    shown = F.transform(F.arrays_zip(ch.alias("c"), q.alias("q")), lambda z: F.when(z["c"].between("0", "9"), z["q"].cast("string")).when(z["c"].between("a", "z"), F.char(z["q"] + 97)).otherwise(z["c"]))
-    return ok, F.concat(F.array_join(shown, ""), F.lit("@"), domain)
+
+    def of(ch: Column) -> Column:
+        ok = domain.rlike(r"^[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\.?$") & F.exists(ch, lambda x: x.rlike("[a-z0-9]"))
+        value = F.transform(ch, lambda x: F.when(x.between("0", "9"), F.ascii(x) - 48).when(x.between("a", "z"), F.ascii(x) - 97).otherwise(0))
+        return _read("email", ok, value, F.transform(ch, lambda x: F.when(x.between("0", "9"), 10).when(x.between("a", "z"), 26).otherwise(1)))
+
+    return let(_chars(F.lower(F.substring_index(c, "@", 1))), of)
+
+
+READERS = (read_email, read_date_iso, read_date_slash, read_ipv4, read_ssn, read_phone, read_card)
+
+
+def read(c: Column) -> Column:
+    """struct<c, p>: a candidate and what its kind reads in it, null if it isn't valid. A candidate stands alone here, so what looks around it holds at its ends."""
+    p = F.lit(None)
+    for (_, pattern), reader in reversed(list(zip(KINDS, READERS, strict=True))):
+        p = F.when(c.rlike(f"^(?:{pattern})$"), reader(c)).otherwise(p)
+    return F.struct(c.alias("c"), p.alias("p"))
+
+
+def written(x: Column, q: Column) -> Column:
+    """The pseudonym of x, struct<c, p>, from its permuted values q."""
+    c, p = x["c"], x["p"]
+    kind, fixed = p["kind"], p["fixed"]
+    day = F.date_from_unix_date(F.get(q, F.lit(0)) * 256 + F.get(q, F.lit(1)) - 25567)
+    date = let(day, lambda d: F.when(fixed == 0, F.date_format(d, "yyyy-MM-dd")).when((fixed == 2) & (F.dayofmonth(d) > 12), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+    area = F.get(q, F.lit(0)) + 1
+    ssn = F.concat_ws("-", F.lpad((area + F.when(area >= 666, 1).otherwise(0)).cast("string"), 3, "0"), F.lpad((F.get(q, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(q, F.lit(2)) + 1).cast("string"), 4, "0"))
+    every = F.regexp_replace(c, "[^0-9]", "")
+    front = F.concat(F.array(fixed), q)
+    digits = F.when(kind == "phone", F.concat(F.substring(every, F.lit(1), F.length(every) - 10), _text(q))).otherwise(
+        let(front, lambda f: F.concat(_text(f), ((10 - luhn(F.concat(f, F.array(F.lit(0)))) % 10) % 10).cast("string")))
+    )
+    local = F.transform(F.arrays_zip(_chars(F.lower(F.substring_index(c, "@", 1))).alias("c"), q.alias("q")), lambda z: F.when(z["c"].between("0", "9"), z["q"].cast("string")).when(z["c"].between("a", "z"), F.char(z["q"] + 97)).otherwise(z["c"]))
+    email = F.concat(F.array_join(local, ""), F.lit("@"), F.substring_index(c, "@", -1))
+    shown = F.when(kind.isNull(), c).when(kind == "email", email).when(kind == "date", date).when(kind == "ipv4", F.array_join(F.transform(q, lambda v: v.cast("string")), "."))
+    return F.struct(kind.alias("kind"), shown.when(kind == "ssn", ssn).otherwise(_refill(c, digits)).alias("text"))
 
 
 def replacement(c: Column, key: str) -> Column:
     """struct<kind, text>: the pseudonym of a candidate; kind is null where it isn't valid."""
-    makers = (email, date_iso, date_slash, ipv4, ssn, phone, card)
-    out = F.struct(F.lit(None).cast("string").alias("kind"), c.alias("text"))
-    for (kind, pattern), make in reversed(list(zip(KINDS, makers, strict=True))):
-        # A candidate stands alone here, so what looks around it holds at its ends.
-        ok, made = make(c, key)
-        out = F.when(c.rlike(f"^(?:{pattern})$"), F.when(ok, F.struct(F.lit(kind).alias("kind"), made.alias("text"))).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), c.alias("text")))).otherwise(out)
-    return out
+    return let(read(c), lambda x: let(F.when(x["p"].isNotNull(), feistel(x["p"]["v"], x["p"]["r"], x["p"]["kind"], key)), lambda q: written(x, q)))
 
 
 def pseudonymize(docs: DataFrame, key: str = "tarn", text: str = "text") -> DataFrame:
