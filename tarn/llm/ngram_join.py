@@ -217,6 +217,16 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), "y", "yn", "yp")
 
 
+def joined_labels(label: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """label (id, component) after more links (a, b). Only links between components are worked on, each pair of components once."""
+    old = label.select(F.col("id"), F.col("component"))
+    edges = links.join(old.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(old.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    edges = edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    more = components(edges, scratch, name)
+    moved = old.join(more.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left").select("id", F.coalesce("c", "component").alias("component"))
+    return moved.unionByName(more)
+
+
 def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     spark = docs.sparkSession
@@ -239,7 +249,6 @@ def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
 
     label = every.limit(0).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
     tried: DataFrame | None = None
-    links: DataFrame | None = None
     sets = sets_of(docs, postings.select("doc").distinct(), scratch, "sets")
     for step in range(PIVOT_ROUNDS + 1):
         labelled = postings.join(label, postings.doc == label.id, "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"))
@@ -257,12 +266,11 @@ def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
         pairs = scratch.table(pairs, f"pairs-{step}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = scratch.table(verify(pairs, sets), f"links-{step}")
-        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             if step < PIVOT_ROUNDS and pairs.isEmpty():
                 break
             continue
-        label = components(links, scratch, f"labels-{step}")
+        label = scratch.table(joined_labels(label, found, scratch, f"edges-{step}"), f"labels-{step}")
     comp = reps.join(label, reps.rep == label.id, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
     return every.join(comp, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
