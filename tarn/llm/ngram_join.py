@@ -152,11 +152,15 @@ class Bitmap:
         return spark.sparkContext.broadcast(self.words)
 
 
+def bit_of(column: str) -> dict[str, Column]:
+    """The word and the bit of a Bitmap for the ids in a column."""
+    return {"w": (F.pmod(F.xxhash64(column), F.lit(BITMAP * 64)) / 64).cast("int"), "bit": F.pmod(F.xxhash64(column), F.lit(64)).cast("int")}
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(doc, n, hashes sorted) of the wanted documents (column doc, distinct); the first row of a repeated id."""
+    """(doc, n, hashes in unsigned order) of the documents in wanted (column doc), and of a few more that its bitmap lets through: nothing is shuffled."""
     bitmap = Bitmap(wanted, "doc").broadcast(docs.sparkSession)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP * 64))
-    hinted = docs.withColumns({"w": (place / 64).cast("int"), "bit": F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")})
+    hinted = docs.withColumns(bit_of("doc_id"))
 
     def run(batches):
         for batch in batches:
@@ -168,19 +172,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) ->
                 n = np.bincount(text, minlength=k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(tx.signed(h)))], ["doc", "n", "hashes"])
 
-    found = hinted.mapInArrow(run, "doc bigint, n bigint, hashes array<bigint>")
-    return scratch.table(found.join(wanted, "doc", "left_semi"), name)
+    return scratch.table(hinted.mapInArrow(run, "doc bigint, n bigint, hashes array<bigint>"), name)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) that reach 0.8. Both sets meet in one row; a suffix filter on quarters of the hash range comes first."""
+    """pairs (a, b) that reach 0.8. Both sets meet in one row; a suffix filter on quarters of the hash range comes first.
+
+    Only sets of the pairs' documents are shuffled; a bitmap of these holds the others back at the scan.
+    """
+    bitmap = Bitmap(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))), "doc").broadcast(pairs.sparkSession)
+
+    def asked(batches):
+        for batch in batches:
+            w, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            yield batch.select(range(2)).filter(pa.array((bitmap.value[w] >> bit.astype(np.int64)) & 1 == 1))
 
     def run(frames):
+        cuts = np.array([1 << 62, 1 << 63, 3 << 62], np.uint64)
         for f in frames:
             keep = np.zeros(len(f), bool)
             for i, (x, y) in enumerate(zip(f.x, f.y, strict=True)):
                 need = -(-4 * (len(x) + len(y)) // 9)
-                cuts = np.array([-(1 << 62), 0, 1 << 62])
+                x, y = x.view(np.uint64), y.view(np.uint64)
                 p, q = np.diff([0, *np.searchsorted(x, cuts), len(x)]), np.diff([0, *np.searchsorted(y, cuts), len(y)])
                 if np.minimum(p, q).sum() >= need:
                     both = np.concatenate([x, y])
@@ -188,8 +201,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep[i] = (both[1:] == both[:-1]).sum() >= need
             yield f.loc[keep, ["a", "b"]]
 
-    x = sets.select(F.col("doc").alias("a"), F.array_sort("hashes").alias("x"))
-    y = sets.select(F.col("doc").alias("b"), F.array_sort("hashes").alias("y"))
+    sets = sets.select("doc", "hashes").withColumns(bit_of("doc")).mapInArrow(asked, "doc bigint, hashes array<bigint>")
+    x = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
+    y = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(y, "b").join(x, "a").mapInPandas(run, "a bigint, b bigint")
 
 

@@ -46,10 +46,11 @@ class Scratch:
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a Parquet table and read it back."""
+        """Write df as a Parquet table and read it back. Nothing reads the shuffles behind it again: the driver lets go of them, so that executors delete their files."""
         path = f"{self.root}/{name}"
         schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
+        self.spark.sparkContext._jvm.java.lang.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
