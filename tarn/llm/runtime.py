@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of rows that a Python worker is handed at once, where the session doesn't say.
+BATCH_BYTES = "8m"
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,6 +45,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
