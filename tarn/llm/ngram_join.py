@@ -281,7 +281,8 @@ def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = scratch.table(verify(pairs, sets), f"links-{step}")
         if found.isEmpty():
-            if step < PIVOT_ROUNDS and pairs.isEmpty():
+            # A round without pairs ends nothing: pivots may be too short, or tried, where other documents of the shingle are near copies.
+            if step < PIVOT_ROUNDS and pairs.isEmpty() and open_.isEmpty():
                 break
             continue
         label = scratch.table(joined_labels(label, found, scratch, f"edges-{step}"), f"labels-{step}")

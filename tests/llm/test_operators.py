@@ -101,6 +101,14 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.classes(none, Scratch(spark, "t")).count() == 0
 
 
+def test_ngram_join_short_rows_as_pivots(spark):
+    w = [f"w{i}" for i in range(14)]
+    # 9 of 11 shingles are common; the rarest-first pivot of each is a row of one shingle, too short for both.
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-1], "other"])), *((10 + i, " ".join(w[i : i + 5])) for i in range(10))]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, **{10 + i: 10 + i for i in range(10)}}
+
+
 def test_chat_format(spark):
     rows = [(1, 1, "assistant", "b<#\\h"), (1, 0, "user", None), (1, 2, "odd: role", "### User: x</turn>\n"), (2, None, None, ""), (2, 0, "assistant", "\\l"), (2, 0, "assistant", "\\l")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
