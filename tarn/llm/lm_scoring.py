@@ -27,7 +27,7 @@ from .runtime import Scratch
 
 #: Most words whose scores are broadcast (16 bytes each).
 HEAD = 1 << 18
-#: Longest piece in bytes that the lattice uses.
+#: Size in bytes up to which the lattice looks for pieces at least; a vocabulary with longer ones raises it to its longest.
 LONGEST = 20
 LOG10 = np.log(10)
 DISCOUNT = 0.75
@@ -45,7 +45,7 @@ class Lattice:
             if m.is_unknown(i) or m.is_control(i):
                 continue
             raw = bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()
-            if len(raw) <= LONGEST and b" " not in raw[1:]:
+            if b" " not in raw[1:]:
                 pieces.append(raw)
                 scores.append(m.get_score(i))
         for b in range(256):  # any byte can open or continue a word
@@ -53,6 +53,7 @@ class Lattice:
             scores += [-1e6, -1e6]
         pieces.append(b" ")
         scores.append(-1e6)
+        self.longest = max(LONGEST, max(map(len, pieces)))
         table = pd.DataFrame({"piece": pieces, "score": scores}).groupby("piece", as_index=False).score.max()
         data, offsets = tx.utf8(pa.array(table.piece.tolist(), pa.binary()))
         h = tx.SpanHash(tx.byte_values(data))(offsets[:-1], offsets[1:])
@@ -72,7 +73,7 @@ class Lattice:
     def arcs(self, words: np.ndarray, spans: tx.SpanHash, start: np.ndarray, length: int):
         """For words of one length: yield (end, size, piece number or -1 of each word)."""
         for e in range(1, length + 1):
-            for size in range(1, min(e, LONGEST) + 1):
+            for size in range(1, min(e, self.longest) + 1):
                 h = spans(start + e - size, start + e)
                 at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
                 yield e, size, np.where(self.hash[at] == h, at, -1)
@@ -89,7 +90,7 @@ class Lattice:
             length = int(size[group[0]]) if len(group) else 0
             if not length:
                 continue
-            step = max(1, 400_000 // (length * (min(length, LONGEST) if expect else 1)))
+            step = max(1, 400_000 // (length * (min(length, self.longest) if expect else 1)))
             for lo in range(0, len(group), step):
                 g = group[lo : lo + step]
                 total, u = self._same(spans, offsets[g], length, expect)

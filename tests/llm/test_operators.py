@@ -163,6 +163,30 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(m.run(*lm_scoring.spaced(w)), [brute(b" " + x) for x in w])
 
 
+def test_lattice_has_the_longest_pieces():
+    import sentencepiece
+
+    from tarn.llm import textops as tx
+
+    v = sentencepiece.SentencePieceProcessor(model_file=queries.SCORING_VOCABULARY)
+    pieces = [v.id_to_piece(i).replace("▁", " ").encode() for i in range(v.get_piece_size()) if not (v.is_unknown(i) or v.is_control(i) or v.is_byte(i))]
+    long = [p for p in pieces if len(p) > 20 and b" " not in p[1:]]
+    assert long
+    m = lm_scoring.Lattice(queries.SCORING_VOCABULARY)
+    value = dict(zip(m.hash.tolist(), m.logp.tolist(), strict=True))
+    w = [p.removeprefix(b" ") for p in long]
+    for raw, got in zip([b" " + x for x in w], m.run(*lm_scoring.spaced(w)), strict=True):
+        spans = tx.SpanHash(tx.byte_values(np.frombuffer(raw, np.uint8)))
+        p = [1.0] + [0.0] * len(raw)
+        for e in range(1, len(raw) + 1):
+            for s in range(e):
+                lp = value.get(int(spans(np.array([s]), np.array([e]))[0]))
+                p[e] += p[s] * math.exp(lp) if lp is not None else 0
+        assert np.isclose(got, math.log(p[-1]) + m.stop)
+    for p in long:
+        assert int(tx.SpanHash(tx.byte_values(np.frombuffer(p, np.uint8)))(np.array([0]), np.array([len(p)]))[0]) in value
+
+
 def test_quality_counts(docs):
     for r in quality.rule_statistics(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         t = r.text or ""
