@@ -4,11 +4,13 @@ Candidates are found by one expression and validated: card numbers by the Luhn s
 telephone numbers by their shape, social security numbers by their numbering rules, dates by the calendar. A valid value is
 permuted within its own format by a keyed Feistel network over its positions; each position keeps
 its radix (a digit stays a digit, a letter a letter, an octet an octet, a day a day), separators stay, and a card's
-check digit is computed anew. The permutation depends on the key and the kind only, so
+check digit is computed anew. Days before 1900-01-01, the 65,536 from then on, and later ones are permuted each among
+themselves. The permutation depends on the key and the kind only, so
 equal values get equal pseudonyms in all documents, whatever separators are used, and different
 ones never meet.
 
-Edge cases: a null text stays null and an empty one empty; invalid candidates stay as they are;
+Edge cases: a null text stays null and an empty one empty; invalid candidates stay as they are; the
+calendar is the proleptic Gregorian one from year 0001 on, so a date of year 0000 is invalid;
 repeated rows each get their row; extra columns are kept unless named like the result columns, which
 replace them.
 """
@@ -28,6 +30,9 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+#: Days from 1900-01-01 on, each range permuted within itself: its first day and two radices whose product is its days.
+#: Together every day from 0001-01-01 to 9999-12-31.
+DAYS = ((-693595, 745, 931), (0, 256, 256), (65536, 1552, 1864))
 KINDS = (("email", EMAIL), ("date", DATE_ISO), ("date", DATE_SLASH), ("ipv4", IPV4), ("ssn", SSN), ("phone", PHONE), ("card", CARD))
 ANY = "|".join(p for _, p in KINDS)
 
@@ -128,10 +133,14 @@ def read_phone(c: Column) -> Column:
 
 
 def _read_day(day: Column, kind_fixed: Column) -> Column:
-    """A day among the 65,536 from 1900-01-01 on."""
+    """A day of the years 1 to 9999, by its place in its range of DAYS."""
 
     def of(at: Column) -> Column:
-        return _read("date", at.between(0, 65535), F.array(F.floor(at / 256), at % 256), F.array(F.lit(256), F.lit(256)), kind_fixed)
+        p = F.lit(None)
+        for first, a, b in DAYS:
+            within = at - first
+            p = F.when(within.between(0, a * b - 1), _read("date", F.lit(True), F.array(F.floor(within / b), within % b), F.array(F.lit(a), F.lit(b)), kind_fixed)).otherwise(p)
+        return p
 
     return let(F.unix_date(day) + 25567, of)
 
@@ -179,7 +188,10 @@ def written(x: Column, q: Column) -> Column:
     """The pseudonym of x, struct<c, p>, from its permuted values q."""
     c, p = x["c"], x["p"]
     kind, fixed = p["kind"], p["fixed"]
-    day = F.date_from_unix_date(F.get(q, F.lit(0)) * 256 + F.get(q, F.lit(1)) - 25567)
+    first = F.lit(None).cast("int")
+    for start, a, _ in DAYS:
+        first = F.when(F.get(p["r"], F.lit(0)) == a, start).otherwise(first)
+    day = F.date_from_unix_date((F.get(q, F.lit(0)) * F.get(p["r"], F.lit(1)) + F.get(q, F.lit(1)) + first - 25567).cast("int"))
     date = let(day, lambda d: F.when(fixed == 0, F.date_format(d, "yyyy-MM-dd")).when((fixed == 2) & (F.dayofmonth(d) > 12), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
     area = F.get(q, F.lit(0)) + 1
     ssn = F.concat_ws("-", F.lpad((area + F.when(area >= 666, 1).otherwise(0)).cast("string"), 3, "0"), F.lpad((F.get(q, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(q, F.lit(2)) + 1).cast("string"), 4, "0"))

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables: nulls, empties, long texts, ties, repeated rows, extra columns."""
 
 import collections
+import datetime
 import hashlib
 import math
 import random
@@ -303,3 +304,24 @@ def test_pii(spark, docs):
     a, b, c, d = twice.text.split(" ")
     assert a == b.replace("-", "") and sum(map(int, "".join(str(int(x) * (1 + k % 2)) if int(x) * (1 + k % 2) < 10 else str(int(x) * 2 - 9) for k, x in enumerate(reversed(a))))) % 10 == 0
     assert (c, d) == ("999.1.1.1", "2020-02-30")
+
+
+def test_pii_dates_of_all_years(spark):
+    days = ["0001-01-01", "0885-02-28", "1885-03-04", "1899-12-31", "1900-01-01", "2079-06-06", "2079-06-07", "2080-02-29", "9999-12-31"]
+    slash = ["03/04/1885", "25/12/1700", "12/31/9999"]
+    left = ["0000-01-01", "1885-02-29", "1900-02-29", "2100-02-29"]
+    rows = [(i, x) for i, x in enumerate([*days, *slash, *left])]
+    out = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in rows:
+        assert (out[i].n_date, out[i].text == x) == ((0, True) if x in left else (1, False)), x
+        assert re.fullmatch(re.sub("[0-9]", "[0-9]", x), out[i].text)
+        if x in days:
+            datetime.date.fromisoformat(out[i].text)
+    m, d, y = out[len(days)].text.split("/")
+    assert f"{y}-{m}-{d}" == out[2].text  # one day in two formats
+    for first, a, b in pii.DAYS:  # ends of a range and 2,000 days between stay in it, apart from each other
+        at = F.floor(F.col("id") * (a * b - 1) / 2001).cast("int")
+        some = spark.range(2002).select(F.date_format(F.date_from_unix_date(at + first - 25567), "yyyy-MM-dd").alias("text"))
+        moved = [(datetime.date.fromisoformat(r.text) - datetime.date(1900, 1, 1)).days for r in pii.pseudonymize(some).collect()]
+        assert len(set(moved)) == 2002 and all(first <= d < first + a * b for d in moved)
+    assert pii.DAYS[0][0] == (datetime.date.min - datetime.date(1900, 1, 1)).days and sum(a * b for _, a, b in pii.DAYS) == datetime.date.max.toordinal()
