@@ -5,8 +5,8 @@ each text the mean path length over random splits; short paths mean that few tex
 The cut is set from labelled rows: the lowest anomaly score that rejects at most `most_good` of the
 good ones. Rows are fitted on a bounded sample, `most_labelled`, chosen by a hash of their ids.
 
-Edge cases: null and empty texts have zero statistics and fail the base rule; without labelled rows
-of both kinds the forest keeps every text; repeated rows each get their row; ties in the sample are
+Edge cases: null and empty texts have zero statistics and fail the base rule; with fewer than
+LEAST_GOOD good labelled rows that pass the base rule, or no low-quality one, the forest keeps every text that passes it; repeated rows each get their row; ties in the sample are
 broken by id; extra columns are ignored.
 """
 
@@ -23,6 +23,8 @@ from .runtime import Scratch
 WINDOW = 8
 #: Bounds of the fit: labelled rows, trees, rows a tree.
 MOST_LABELLED, TREES, TREE_ROWS = 20_000, 100, 256
+#: Good labelled rows, half of which grow the forest and half set its cut, below which there is none.
+LEAST_GOOD = 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_chars_all", "n_bars")
 IS_SYMBOL, IS_UPPER, IS_DIGIT, IS_MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b"!?.,;:"))
 
@@ -93,10 +95,10 @@ def rule_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Rates that don't depend on a text's length; repeats are left to the base rule."""
-    w, chars, symbols, _, _, _, upper, digits, marks, _, bars = counts.astype(np.float64).T
+    """Rates that don't depend on a text's length; repeated windows are left to the base rule."""
+    w, chars, symbols, dup_lines, _, lines, upper, digits, marks, _, bars = counts.astype(np.float64).T
     words, letters = np.maximum(w, 1), np.maximum(chars, 1)
-    return np.sqrt(np.stack([chars / words, symbols / words, upper / letters, digits / letters, marks / words, bars / words], axis=1))
+    return np.sqrt(np.stack([chars / words, symbols / words, upper / letters, digits / letters, marks / words, bars / words, dup_lines / np.maximum(lines, 1)], axis=1))
 
 
 class IsolationForest:
@@ -104,10 +106,12 @@ class IsolationForest:
 
     Half of the cuts fall within the rows of a node, half within the node's part of `box`, the range of all
     labelled rows: a statistic that no good text shows, like symbols in plain prose, is split on too.
+    Only the first `width` columns are looked at.
     """
 
-    def __init__(self, rows: np.ndarray, box: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7):
+    def __init__(self, rows: np.ndarray, box: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7, width: int | None = None):
         rng = np.random.default_rng(seed)
+        rows, box = rows[:, :width], box[:, :width]
         self.size = min(tree_rows, len(rows))
         self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2))))) + 4
         self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], box, rng) for _ in range(trees)]
@@ -153,18 +157,23 @@ def fit(good: np.ndarray, bad: np.ndarray, most_good: float = 0.005) -> tuple[Is
     """The forest of half of the good rows, and the anomaly score above which a text goes.
 
     The cut is the one with the best balanced accuracy on the other half and the bad rows, among
-    those that reject at most most_good of the good.
+    those that reject at most most_good of the good. The last column, the share of duplicate lines, counts
+    unless a forest without it is better by that measure: where good texts repeat lines as well, it only blurs the rest.
     """
-    if len(good) < 16 or not len(bad):
+    if len(good) < LEAST_GOOD or not len(bad):
         return None
     every = np.concatenate([good, bad])
-    forest = IsolationForest(good[::2], np.stack([every.min(axis=0), every.max(axis=0)]))
-    g, b = np.sort(forest.anomaly(good[1::2])), np.sort(forest.anomaly(bad))
-    cuts = np.unique(np.concatenate([g, b]))
-    lost = 1 - np.searchsorted(g, cuts, "right") / len(g)
-    caught = 1 - np.searchsorted(b, cuts, "right") / len(b)
-    gain = np.where(lost <= most_good, caught - lost, -1)
-    return forest, float(cuts[np.flatnonzero(gain == gain.max())[-1]])
+    best, most = None, -np.inf
+    for width in (every.shape[1], every.shape[1] - 1):
+        forest = IsolationForest(good[::2], np.stack([every.min(axis=0), every.max(axis=0)]), width=width)
+        g, b = np.sort(forest.anomaly(good[1::2])), np.sort(forest.anomaly(bad))
+        cuts = np.unique(np.concatenate([g, b]))
+        lost = 1 - np.searchsorted(g, cuts, "right") / len(g)
+        caught = 1 - np.searchsorted(b, cuts, "right") / len(b)
+        gain = np.where(lost <= most_good, caught - lost, -1)
+        if gain.max() > most:
+            best, most = (forest, float(cuts[np.flatnonzero(gain == gain.max())[-1]])), gain.max()
+    return best
 
 
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_labelled: int = MOST_LABELLED) -> DataFrame:

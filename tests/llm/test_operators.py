@@ -206,6 +206,24 @@ def test_quality_forest(spark):
     assert all(r.kept for r in quality.verdicts(table, table.select("doc_id", "quality").limit(0), Scratch(spark, "t")).collect())
 
 
+def test_quality_judges_duplicate_lines(spark):
+    rng = random.Random(5)
+
+    def text(again):
+        lines = [prose(5, rng) for _ in range(12)]
+        for k in range(0, 2 * again, 2):  # every line comes between others again, so no window of eight words does
+            lines[k + 1 if k + 1 < 12 else 1] = lines[0]
+        return "\n".join(lines)
+
+    rows = [(i, text(0) if i % 5 else text(5), int(i % 5 > 0)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.verdicts(table, table.select("doc_id", "quality"), Scratch(spark, "t")).collect()
+    assert not any(r.base_failed for r in got)
+    assert sum(r.kept for r in got if r.doc_id % 5) >= 300 and sum(r.kept for r in got if r.doc_id % 5 == 0) <= 10
+    few = table.where("quality = 0").unionByName(table.where("quality = 1").orderBy("doc_id").limit(quality.LEAST_GOOD - 1))
+    assert all(r.kept for r in quality.verdicts(few, few.select("doc_id", "quality"), Scratch(spark, "t")).collect())
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(8)
     rows = []
