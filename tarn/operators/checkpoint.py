@@ -18,10 +18,15 @@ from .snapshot import Listing, Snapshot
 MAX_ROWS = 50_000
 
 
+def retained(time: Column, cutoff: int) -> Column:
+    """Whether a tombstone of that time stays: one after the cut-off, in the same unit, or without a time."""
+    return time.isNull() | (time > cutoff)
+
+
 def kept_tombstones(snapshot: Snapshot, now: int | None = None) -> DataFrame:
     """Tombstones younger than the retention; those without a time stay. If one has no extended metadata, none claims it."""
     cutoff = (now_ms() if now is None else now) - int(snapshot.file_retention.total_seconds() * 1000)
-    kept = snapshot.tombstones.where(F.col("deletionTimestamp").isNull() | (F.col("deletionTimestamp") > cutoff))
+    kept = snapshot.tombstones.where(retained(F.col("deletionTimestamp"), cutoff))
     every = kept.agg(F.bool_and(F.coalesce("extendedFileMetadata", F.lit(False))).alias("all")).first()["all"]
     return kept if every else kept.withColumn("extendedFileMetadata", F.lit(False))
 

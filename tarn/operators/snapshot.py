@@ -75,6 +75,12 @@ def read_commits(spark: SparkSession, store: ObjectStore, versions: list[int]) -
     return parsed(lines)
 
 
+def newest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key by the columns of order."""
+    w = Window.partitionBy(key).orderBy(*map(F.desc, order))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 class Snapshot:
     """files, tombstones, txns (DataFrames); protocol, metadata, and counts."""
 
@@ -101,15 +107,13 @@ class Snapshot:
                 if base is None or "unknown log record" in str(e):
                     raise
         self.checkpoint_version = base
-        order = Window.partitionBy("path").orderBy(F.desc("version"), F.desc("is_add"), F.desc("block"), F.desc("pos"))
         moves = self.log.where("add is not null or remove is not null").select(
             F.coalesce("add.path", "remove.path").alias("path"), F.col("add").isNotNull().cast("int").alias("is_add"), "version", "block", "pos", "add", "remove"
         )
-        last = moves.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+        last = newest(moves, "path", "version", "is_add", "block", "pos")
         self.files = last.where("is_add = 1").select("add.*")
         self.tombstones = last.where("is_add = 0").select("remove.*")
-        apps = Window.partitionBy("txn.appId").orderBy(F.desc("version"), F.desc("block"), F.desc("pos"))
-        self.txns = self.log.where("txn is not null").withColumn("_n", F.row_number().over(apps)).where("_n = 1").select("txn.*")
+        self.txns = newest(self.log.where("txn is not null"), "txn.appId", "version", "block", "pos").select("txn.*")
 
     def _records(self, base: int | None, parts: int | None, tail: list[int]) -> DataFrame:
         out = read_commits(self.spark, self.store, tail) if tail else None

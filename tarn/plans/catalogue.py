@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import bounds, names, schema, settings
 from ..operators import actions as A
 from ..operators import checkpoint as C
-from ..operators.snapshot import Snapshot, history
+from ..operators.snapshot import Snapshot, history, newest
 from ..operators.stats import P, file_stats
 from ..operators.table import LakeTable
 from ..streaming import sink
@@ -114,8 +114,7 @@ def tombstone_list(spark, d):
 @query("SELECT arg_max(event_id, (ts, event_id)) AS event_id, user_id FROM events GROUP BY user_id")
 def log_replay_events(spark, d):
     """The last event of each user wins, as the last record of each path does."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return src(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n = 1").select("event_id", "user_id")
+    return newest(src(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id")
 
 
 @query("SELECT 'app' || CAST(user_id % 5 AS VARCHAR) AS app, max(event_id) AS version FROM events GROUP BY 1")
@@ -166,9 +165,9 @@ def tail_after_checkpoint(spark, d):
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
 def retention_filter(spark, d):
     """Tombstones with the events' times: those past the cut-off stay."""
-    rows = src(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("deletionTimestamp"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    cutoff = int(datetime(2024, 1, 15).timestamp() - datetime(1970, 1, 1).timestamp()) * 1000
-    return rows.where(F.col("deletionTimestamp").isNull() | (F.col("us") > cutoff * 1000)).select("event_id")
+    rows = src(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    cutoff = int(datetime(2024, 1, 15).timestamp() - datetime(1970, 1, 1).timestamp()) * 1_000_000
+    return rows.where(C.retained(F.col("us"), cutoff)).select("event_id")
 
 
 @query("SELECT event_id AS version, rn + max(ms - rn) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS adjusted FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY event_id) AS rn FROM events)")

@@ -105,6 +105,21 @@ def test_tombstone_retention_and_cleanup(spark, tmp_path):
     assert t.snapshot().file_count() == 0
 
 
+def test_catalogue_queries_use_the_engine(spark, tmp_path, monkeypatch):
+    from tarn.plans import catalogue
+
+    rows = [(1, 7, "2024-01-14 23:59:59"), (2, 7, "2024-01-15 00:00:00"), (3, 7, "2024-01-15 00:00:00.000001"), (4, 8, "2024-01-16 00:00:00"), (5, 8, "2024-01-16 00:00:00"), (6, 8, "2024-01-01 00:00:00")]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    ids = lambda q: sorted(r.event_id for r in catalogue.QUERIES[q](spark, str(tmp_path)).collect())
+    assert ids("retention_filter") == [3, 4, 5] and ids("log_replay_events") == [3, 5]
+    from tarn.operators import snapshot
+
+    assert catalogue.newest is snapshot.newest  # and a fault of either shows
+    monkeypatch.setattr(C, "retained", lambda time, cutoff: time < cutoff)
+    monkeypatch.setattr(catalogue, "newest", lambda rows, key, *order: rows.limit(0))
+    assert ids("retention_filter") == [1, 6] and ids("log_replay_events") == []
+
+
 def test_concurrent_writers(spark, tmp_path):
     LakeTable(spark, str(tmp_path)).create(A.Metadata(ONE))
     store = FileStore(str(tmp_path))
