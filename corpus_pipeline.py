@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fitted models and tokenizers are beyond SQL; the stages are tested against brute force.
+#: Fitted models and tokenizers are beyond SQL; tests/test_pipeline.py holds run() and the stages against brute force on planted rows.
 ORACLE_SQL = None
 
 
