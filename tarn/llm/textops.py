@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at once; one longer text is worked on alone.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 19
+#: Powers of a base that a worker keeps; longer runs are put together from these.
+KEPT_POWERS = 1 << 16
 
 U = np.uint64
 _B, _C = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
@@ -30,15 +32,19 @@ LOWER[65:91] += 32
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64. The first KEPT_POWERS are kept, whatever n is."""
     have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (max(n, 1) - 1).bit_length())
-        have = np.full(size, base, np.uint64)
+    if have is None:
+        have = np.full(KEPT_POWERS, base, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
         _POWERS[int(base)] = have
-    return have[:n]
+    if n <= KEPT_POWERS:
+        return have[:n]
+    steps = np.full(-(-n // KEPT_POWERS), have[-1] * base, np.uint64)
+    steps[0] = 1
+    np.cumprod(steps, out=steps)
+    return np.multiply.outer(steps, have).reshape(-1)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,12 +66,12 @@ class SpanHash:
 
     def __init__(self, values: np.ndarray, base: np.uint64 = _B):
         n = len(values)
-        self.base, self.inverse = base, _inverse(base)
+        self.inverse = powers(_inverse(base), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * powers(base, n), out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * powers(self.inverse, len(self.sums))[start]
+        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return mix(h + (end - start).astype(np.uint64) * U(0xA0761D6478BD642F))
 
     def windows(self, k: int) -> np.ndarray:
@@ -73,7 +79,7 @@ class SpanHash:
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:n]) * powers(self.inverse, len(self.sums))[:n])
+        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
