@@ -5,13 +5,18 @@ their smallest document first. Shingles are ordered rare first by a fixed-size t
 frequencies in all documents (hash buckets, so the order is global whatever the corpus' size, ties by hash); two sets at
 0.8 or more must share a shingle among the first n - ceil(0.8 n) + 1 of each.
 
-Linked documents only have to end up in one component, so a shared prefix shingle first links its
-documents to one pivot each round; then every pair of documents of different components that share
-a prefix shingle is verified. Pairs inside a component can't change it. Length and positional
-filters hold before verification, a suffix filter (shingles counted by part of their range) within it.
+Linked documents only have to end up in one component, and pairs inside a component can't change it. So
+rounds of bounded size come first: each document on a shingle meets a few next to it in a random order that
+changes from round to round, then the documents with most links so far. Components are contracted after
+each. Last, every pair of documents of different components that share a prefix shingle is verified:
+no round drops a pair, the earlier ones only leave few. Length and positional filters hold before
+verification, a suffix filter (shingles counted by part of their range) within it.
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing and are their own
-component; fewer than five words are one shingle; repeated rows share their set's component; an empty table gives no rows.
+component; fewer than five words are one shingle; repeated rows share their set's component; very long texts are
+worked on whole, one at a time; ties in the order don't matter, as any order gives the same components; an empty table
+gives no rows. classes() reads doc_id and the text only, whatever other columns are called; keep_one() gives all
+columns back as they were.
 """
 
 from __future__ import annotations
@@ -24,14 +29,17 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 from .components import components
-from .runtime import Scratch, fan_out
+from .runtime import Bitmap, Scratch, fan_out
 
 SHINGLE = 5
 #: Frequency buckets of the shingle order; fixed, 4 bytes each.
 BUCKETS = 1 << 18
-#: Words of 64 bits of the bitmap that spares documents without candidates the work of a join; fixed.
-BITMAP = 1 << 16
-PIVOT_ROUNDS = 3
+#: Slices in which tasks hand on their counts of shingles.
+SLICES = 64
+#: Rounds before all pairs that are left: neighbours that a document meets, or documents with most links.
+NEAR, HUBS = (2, 8), 4
+#: A round that merges more than one in so many open documents is followed by another.
+FRUITFUL = 32
 #: Open shingles of a document that are carried to give each pair once.
 LEADING = 16
 #: A shingle in more documents than this is dealt to several tasks.
@@ -59,11 +67,11 @@ def similar_lengths(a: Column, b: Column) -> Column:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """kind 0: a row per document, (doc_id, n, s1, s2) with a 128-bit digest of its set; kind 1: (bucket, count) of a task's shingles."""
+    """doc_id, n, s1, s2 (a 128-bit digest of its set) of each document; besides, with a slice, a task's counts of shingles in it."""
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["kind", "doc_id", "n", "s1", "s2"]
+        names = ["slice", "doc_id", "n", "s1", "s2", "counts"]
         for batch in batches:
             for lo, data, offsets in tx.blocks(batch.column(1)):
                 k = len(offsets) - 1
@@ -76,12 +84,29 @@ def set_rows(docs: DataFrame) -> DataFrame:
                     sums = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(tx.mix(h ^ np.uint64(salt)), out=sums[1:])
                     digests.append(tx.signed(sums[ends[1:]] - sums[ends[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int64)), batch.column(0).slice(lo, k), pa.array(n), *map(pa.array, digests)], names)
-        at = np.flatnonzero(counts)
-        zero = pa.array(np.zeros(len(at), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int64)), pa.array(at), pa.array(counts[at]), zero, zero], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), batch.column(0).slice(lo, k), pa.array(n), *map(pa.array, digests), pa.nulls(k, pa.binary())], names)
+        if counts.any():
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), none, none, none, none, pa.array([x.tobytes() for x in counts.reshape(SLICES, -1)], pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint")
+    return docs.mapInArrow(tx.lean(run), "slice int, doc_id bigint, n bigint, s1 bigint, s2 bigint, counts binary")
+
+
+def frequencies(rows: DataFrame, many: int) -> np.ndarray:
+    """Documents of each bucket, from the slices of all tasks: summed by slice, then BUCKETS numbers to the driver."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+    found = rows.where("slice is not null").select("slice", "counts").repartition(many, "slice").mapInArrow(run, "slice int, counts binary").toPandas()
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for k, raw in zip(found.slice, found.counts, strict=True):
+        out[k] += np.frombuffer(raw, np.int64)
+    return out.reshape(-1)
 
 
 def prefix_postings(docs: DataFrame, frequency: np.ndarray, hot: int) -> DataFrame:
@@ -106,7 +131,7 @@ def prefix_postings(docs: DataFrame, frequency: np.ndarray, hot: int) -> DataFra
                 parts = np.minimum(f[at] // hot + 1, 1 << 14).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(tx.signed(h[at]))), pa.ListArray.from_arrays(ends, pa.array(parts))], ["doc", "n", "prefix", "parts"])
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, prefix array<bigint>, parts array<int>")
+    return docs.mapInArrow(tx.lean(run), "doc bigint, n bigint, prefix array<bigint>, parts array<int>")
 
 
 def drop_lonely(sorted_postings: DataFrame) -> DataFrame:
@@ -135,44 +160,22 @@ def drop_lonely(sorted_postings: DataFrame) -> DataFrame:
         if carry is not None and (same_before or carry.column(4)[0].as_py() > 1):
             yield carry
 
-    return sorted_postings.mapInArrow(run, schema)
-
-
-class Bitmap:
-    """A fixed-size set of ids that may hold too many, never too few."""
-
-    def __init__(self, ids: DataFrame, column: str):
-        place = F.pmod(F.xxhash64(column), F.lit(BITMAP * 64))
-        words = ids.select((place / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(`%s`), 64) as int))" % column).alias("b"))
-        rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-        self.words = np.zeros(BITMAP, np.int64)
-        self.words[rows.w.to_numpy()] = rows.b.to_numpy()
-
-    def broadcast(self, spark):
-        return spark.sparkContext.broadcast(self.words)
-
-
-def bit_of(column: str) -> dict[str, Column]:
-    """The word and the bit of a Bitmap for the ids in a column."""
-    return {"w": (F.pmod(F.xxhash64(column), F.lit(BITMAP * 64)) / 64).cast("int"), "bit": F.pmod(F.xxhash64(column), F.lit(64)).cast("int")}
+    return sorted_postings.mapInArrow(tx.lean(run), schema)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(doc, n, hashes in unsigned order) of the documents in wanted (column doc), and of a few more that its bitmap lets through: nothing is shuffled."""
-    bitmap = Bitmap(wanted, "doc").broadcast(docs.sparkSession)
-    hinted = docs.withColumns(bit_of("doc_id"))
 
     def run(batches):
         for batch in batches:
-            w, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            batch = batch.filter(pa.array((bitmap.value[w] >> bit.astype(np.int64)) & 1 == 1))
             for lo, data, offsets in tx.blocks(batch.column(1)):
                 k = len(offsets) - 1
                 h, text = text_sets(data, offsets)
                 n = np.bincount(text, minlength=k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(tx.signed(h)))], ["doc", "n", "hashes"])
 
-    return scratch.table(hinted.mapInArrow(run, "doc bigint, n bigint, hashes array<bigint>"), name)
+    likely = docs.where(Bitmap(wanted, "doc").has("doc_id"))
+    return scratch.table(likely.mapInArrow(tx.lean(run), "doc bigint, n bigint, hashes array<bigint>"), name)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,12 +183,6 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Only sets of the pairs' documents are shuffled; a bitmap of these holds the others back at the scan.
     """
-    bitmap = Bitmap(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))), "doc").broadcast(pairs.sparkSession)
-
-    def asked(batches):
-        for batch in batches:
-            w, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            yield batch.select(range(2)).filter(pa.array((bitmap.value[w] >> bit.astype(np.int64)) & 1 == 1))
 
     def run(frames):
         cuts = np.array([1 << 62, 1 << 63, 3 << 62], np.uint64)
@@ -200,13 +197,60 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     both.sort()
                     keep[i] = (both[1:] == both[:-1]).sum() >= need
             yield f.loc[keep, ["a", "b"]]
+        tx.release()
 
-    sets = sets.select("doc", "hashes").withColumns(bit_of("doc")).mapInArrow(asked, "doc bigint, hashes array<bigint>")
+    asked = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("doc")), "doc")
+    sets = sets.where(asked.has("doc")).select("doc", "hashes")
     x = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(y, "b").join(x, "a").mapInPandas(run, "a bigint, b bigint")
 
 
+def may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Length and positional filter: whether sets of n and m shingles can reach 0.8 if their first common one stands at pos and at."""
+    return similar_lengths(n, m) & (F.least(n - pos, m - at) >= least_overlap(n, m))
+
+
+def neighbours(rows: DataFrame, reach: int, step: int, many: int) -> DataFrame:
+    """Pairs (a, b) of rows (h, doc, n, pos, parts, c) with one shingle and two components that stand at most `reach` apart in a random order of the shingle's documents."""
+
+    def run(batches):
+        carry: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = carry.num_rows if carry is not None else 0
+            table = pa.Table.from_batches([carry, batch] if old else [batch]).combine_chunks().to_batches()[0]
+            h, part, doc, n, pos, c = (table.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            found = []
+            for q in range(1, min(reach, len(h) - 1) + 1):
+                i = np.arange(max(0, old - q), len(h) - q)
+                j = i + q
+                a, b, rest = n[i].astype(np.int64), n[j].astype(np.int64), np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (h[i] == h[j]) & (part[i] == part[j]) & (c[i] != c[j]) & (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (rest * 9 >= (a + b) * 4)
+                found.append(np.stack([np.minimum(doc[i], doc[j])[ok], np.maximum(doc[i], doc[j])[ok]]))
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            carry = table.slice(max(0, len(h) - reach))
+        tx.release()
+
+    dealt = rows.select("h", F.pmod(F.xxhash64("doc", F.lit(step)), F.col("parts")).cast("int").alias("part"), "doc", "n", "pos", "c", F.xxhash64("doc", F.lit(~step)).alias("o"))
+    ordered = dealt.repartition(many, "h", "part").sortWithinPartitions("h", "part", "o")
+    return ordered.drop("o").mapInArrow(run, "a bigint, b bigint")
+
+
+def hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows with HUBS documents of their shingle that have most links (a, b) so far: one of each residue class of ids."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("degree"))
+    own = F.struct(F.col("degree").alias("d"), F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("c").alias("yc"))
+    ranked = rows.join(degree, rows.doc == degree.linked, "inner")
+    best = ranked.groupBy("h").agg(*(F.max(F.when(F.pmod(F.xxhash64("doc"), F.lit(HUBS)) == k, own)).alias(f"hub{k}") for k in range(HUBS)))
+    best = best.select("h", F.explode(F.array_compact(F.array(*(f"hub{k}" for k in range(HUBS))))).alias("hub")).select("h", "hub.*")
+    met = rows.join(best, "h").where((F.col("c") != F.col("yc")) & may_link(F.col("n"), F.col("pos"), F.col("yn"), F.col("yp")))
+    return met.select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b"))
+
+
 def cross_pairs(rows: DataFrame) -> DataFrame:
     """Every pair of rows (h, doc, n, pos, c) that share a shingle and not a component, nearly always once.
 
@@ -219,16 +263,14 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     rows = rows.join(lead, "doc").join(largest, "h")
     one = rows.where("c <> top")
     other = rows.select("h", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("c").alias("yc"), F.col("lead").alias("ylead"), F.col("top").alias("ytop"))
-    rest = F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("yp"))
     common = F.array_intersect("lead", "ylead")
     pairs = one.join(other, "h").where(
         (F.col("c") != F.col("yc"))
         & ((F.col("yc") == F.col("ytop")) | (F.col("doc") < F.col("y")))
-        & similar_lengths(F.col("n"), F.col("yn"))
-        & (rest >= least_overlap(F.col("n"), F.col("yn")))
+        & may_link(F.col("n"), F.col("pos"), F.col("yn"), F.col("yp"))
         & ((F.size(common) == 0) | (F.get(common, F.lit(0)) == F.col("h")))
     )
-    return pairs.select(F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), "y", "yn", "yp")
+    return pairs.select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b"))
 
 
 def joined_labels(label: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -241,52 +283,80 @@ def joined_labels(label: DataFrame, links: DataFrame, scratch: Scratch, name: st
     return moved.unionByName(more)
 
 
+class Search:
+    """Components of the documents on postings, and the links that made them, as rounds go on."""
+
+    def __init__(self, docs: DataFrame, postings: DataFrame, scratch: Scratch, many: int):
+        self.postings, self.scratch, self.many, self.step = postings, scratch, many, 0
+        wanted = scratch.table(postings.select("doc").distinct(), "wanted")
+        self.open = wanted.count()
+        self.sets = sets_of(docs, wanted, scratch, "sets")
+        self.label: DataFrame | None = None
+        self.tried: list[DataFrame] = []
+        self.links: list[DataFrame] = []
+
+    def rows(self) -> DataFrame:
+        """The postings with their documents' components, of shingles that have more than one."""
+        if self.label is None:
+            return self.postings.withColumn("c", F.col("doc"))
+        return self.postings.join(self.label, F.col("doc") == F.col("id"), "left").select(*self.postings.columns, F.coalesce("component", "doc").alias("c"))
+
+    def round(self, pairs: DataFrame) -> int:
+        """Verify the pairs that weren't tried before, contract what they link; how many links there were."""
+        pairs = pairs.distinct()
+        for old in self.tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = self.scratch.table(pairs, f"pairs-{self.step}")
+        found = self.scratch.table(verify(pairs, self.sets), f"links-{self.step}")
+        self.tried.append(pairs)
+        self.links.append(found)
+        n = found.count()
+        if n:
+            before = self.label if self.label is not None else found.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component"))
+            self.label = self.scratch.table(joined_labels(before, found, self.scratch, f"edges-{self.step}"), f"labels-{self.step}")
+        self.step += 1
+        return n
+
+    def near(self, reach: int) -> int:
+        return self.round(neighbours(self.rows(), reach, self.step, self.many))
+
+    def hubs(self) -> int:
+        every = self.links[0]
+        for more in self.links[1:]:
+            every = every.unionByName(more)
+        return self.round(hub_pairs(self.rows(), every))
+
+    def rest(self) -> int:
+        """All pairs that are left."""
+        rows = self.rows()
+        many = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+        return self.round(cross_pairs(rows.join(many, "h", "left_semi")))
+
+
 def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    many = fan_out(docs.sparkSession)
     rows = scratch.table(set_rows(docs), "rows")
-    counted = rows.where("kind = 1").groupBy(F.col("doc_id").alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
-    frequency = np.zeros(BUCKETS, np.int64)
-    frequency[counted.bucket.to_numpy()] = counted.n.to_numpy()
-    every = rows.where("kind = 0").drop("kind")
+    frequency = frequencies(rows, many)
+    every = rows.where("slice is null").select("doc_id", "n", "s1", "s2")
     reps = scratch.table(every.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
 
-    many = fan_out(spark)
     # Buckets hold the average of all shingles besides; what stands above it is one shingle's own.
     hot = int(HOT + frequency.mean() + 6 * np.sqrt(frequency.mean()))
     prefixes = prefix_postings(docs, frequency, hot).join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
     postings = prefixes.select("doc", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"))
     postings = postings.select(F.col("x.prefix").alias("h"), "doc", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), F.col("x.parts").alias("parts"))
     dealt = postings.repartition(many, "h", F.pmod(F.xxhash64("doc"), F.col("parts"))).sortWithinPartitions("h")
-    postings = scratch.table(drop_lonely(dealt), "postings")
-
-    label = every.limit(0).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
-    tried: DataFrame | None = None
-    sets = sets_of(docs, postings.select("doc").distinct(), scratch, "sets")
-    for step in range(PIVOT_ROUNDS + 1):
-        labelled = postings.join(label, postings.doc == label.id, "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"))
-        order = F.struct(F.xxhash64("doc", F.lit(step)).alias("o"), F.col("doc"), F.col("n"), F.col("pos"), F.col("c")) if step else F.struct(F.col("n").alias("o"), F.col("doc"), F.col("n").alias("n"), F.col("pos"), F.col("c"))
-        open_ = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("p")).where("low <> high")
-        if step < PIVOT_ROUNDS:
-            pairs = labelled.join(open_.select("h", "p"), "h").where("c <> p.c").select(F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("p.doc").alias("y"), F.col("p.n").alias("yn"), F.col("p.pos").alias("yp"))
-        else:
-            pairs = cross_pairs(labelled.join(open_.select("h"), "h", "left_semi"))
-        rest = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
-        pairs = pairs.where(similar_lengths(F.col("xn"), F.col("yn")) & (rest >= least_overlap(F.col("xn"), F.col("yn"))))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs-{step}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.table(verify(pairs, sets), f"links-{step}")
-        if found.isEmpty():
-            # A round without pairs ends nothing: pivots may be too short, or tried, where other documents of the shingle are near copies.
-            if step < PIVOT_ROUNDS and pairs.isEmpty() and open_.isEmpty():
-                break
-            continue
-        label = scratch.table(joined_labels(label, found, scratch, f"edges-{step}"), f"labels-{step}")
-    comp = reps.join(label, reps.rep == label.id, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
+    search = Search(docs, scratch.table(drop_lonely(dealt), "postings"), scratch, many)
+    for reach in NEAR:
+        search.near(reach)
+    while search.hubs() * FRUITFUL > search.open:
+        search.near(NEAR[-1])
+    search.rest()
+
+    label = search.label if search.label is not None else reps.limit(0).select(F.col("rep").alias("id"), F.col("rep").alias("component"))
+    comp = reps.join(label, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
     return every.join(comp, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
@@ -297,20 +367,9 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     found = scratch.table(classes(docs, scratch), "classes")
     again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("n > 1 or doc_id <> c")
-    doubtful = scratch.table(again.select(F.col("doc_id").alias("doc"), F.expr("doc_id <> c").alias("goes")), "doubtful")
-    bitmap = Bitmap(doubtful, "doc").broadcast(docs.sparkSession)
-    hinted = docs.withColumns({"_w": F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP * 64)), "_b": F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(64))})
-    n = len(docs.columns)
-
-    def part(doubt: bool):
-        def run(batches):
-            for batch in batches:
-                w, b = (batch.column(n + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                yield batch.select(range(n)).filter(pa.array(((bitmap.value[w // 64] >> b) & 1 == 1) == doubt))
-
-        return hinted.mapInArrow(run, docs.schema)
-
-    held = part(True).join(doubtful, F.col("doc_id").cast("long") == F.col("doc"), "left")
-    held = held.where(~F.coalesce("goes", F.lit(False)))
-    once = held.where("doc is not null").select(docs.columns).dropDuplicates(["doc_id"])
-    return part(False).unionByName(held.where("doc is null").select(docs.columns)).unionByName(once)
+    doubtful = scratch.table(again.select(F.col("doc_id").alias("id"), F.expr("doc_id <> c").alias("goes")), "doubtful")
+    bitmap = Bitmap(doubtful, "id")
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    held = whole.where(bitmap.has("id")).join(doubtful, "id", "left").where(~F.coalesce("goes", F.lit(False)))
+    once = held.where("goes is not null").dropDuplicates(["id"])
+    return whole.where(~bitmap.has("id")).select("row.*").unionByName(held.where("goes is null").select("row.*")).unionByName(once.select("row.*"))

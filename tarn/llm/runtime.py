@@ -7,11 +7,16 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Most words of 64 bits in a Bitmap: 8 MB.
+MOST_WORDS = 1 << 20
 #: Bytes of rows that a Python worker is handed at once, where the session doesn't say.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,6 +69,26 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Bitmap:
+    """A set of ids that may hold too many, never too few: 256 bits or more an id, within 8 MB. Beyond a few million ids it holds
+    back less, and what stands behind it gets more rows; results are the same.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        place = F.pmod(F.xxhash64(column), F.lit(MOST_WORDS * 64))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+        rows = ids.select(F.call_function("shiftrightunsigned", place, F.lit(6)).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        self.size = min(MOST_WORDS, max(64, 1 << (4 * len(rows)).bit_length()))
+        words = np.zeros(self.size, np.int64)
+        np.bitwise_or.at(words, rows.w.to_numpy(np.int64) % self.size, rows.b.to_numpy(np.int64))
+        self.row = ids.sparkSession.createDataFrame(pa.table({"words": pa.array([words], pa.list_(pa.int64()))}))
+
+    def has(self, column: str) -> Column:
+        """Whether an id may be in the set; evaluated where the row is."""
+        place = F.pmod(F.xxhash64(column), F.lit(self.size * 64))
+        return F.getbit(F.get(self.row.scalar(), F.call_function("shiftrightunsigned", place, F.lit(6)).cast("int")), (place % 64).cast("int")) == 1
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .ngram_join import Bitmap
-from .runtime import Scratch, fan_out
+from .runtime import Bitmap, Scratch, fan_out
 
 SPAN, GRAM = 200, 64
 #: Gram positions in a window, and bytes of a window that can stand before or behind its anchor's start.
 PLACES = SPAN - GRAM + 1
 #: Bytes of contexts in one suffix array; contexts of one anchor in one shard.
-SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 4_000
+SHARD_BYTES, SHARD_CONTEXTS = 3 << 18, 2_000
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
 
@@ -236,7 +235,7 @@ def shard_windows(contexts: DataFrame, many: int) -> DataFrame:
                     yield pa.RecordBatch.from_pandas(part[names].astype("int64"), preserve_index=False)
 
     dealt = contexts.repartition(many, "anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return dealt.mapInArrow(tx.lean(run), ", ".join(f"{n} bigint" for n in names))
 
 
 def merge_shards(windows: DataFrame, many: int) -> DataFrame:
@@ -272,7 +271,7 @@ def merge_shards(windows: DataFrame, many: int) -> DataFrame:
             yield pa.RecordBatch.from_pandas(f.loc[hit, ["k", "first", "last"]], preserve_index=False)
 
     dealt = windows.select("k", "first", "last", "d1", "d2", "done").repartition(many, "d1").sortWithinPartitions("d1", "d2")
-    return dealt.mapInArrow(run, "k bigint, first bigint, last bigint")
+    return dealt.mapInArrow(tx.lean(run), "k bigint, first bigint, last bigint")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -287,7 +286,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 if len(text):
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), batch.column(0).take(pa.array(lo + text)), pa.array(pos.astype(np.int32)), pa.array(lead.astype(np.int16)), pa.array(rest.astype(np.int16))], ["anchor", "context", "k", "pos", "lead", "rest"])
 
-    sampled = scratch.table(docs.mapInArrow(sample, "anchor bigint, context bigint, k bigint, pos int, lead short, rest short"), "anchors")
+    sampled = scratch.table(docs.mapInArrow(tx.lean(sample), "anchor bigint, context bigint, k bigint, pos int, lead short, rest short"), "anchors")
     twice = sampled.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     kept = scratch.table(sampled.join(twice, "anchor", "left_semi"), "repeated")
     scratch.drop("anchors")
@@ -299,7 +298,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = copies.select("k", (F.col("pos") - F.col("lead")).cast("long").alias("first"), (F.col("pos") + F.col("rest") - SPAN).cast("long").alias("last"))
 
     asked = groups.where("contexts > 1").select("anchor", "context", "c", "contexts", "r.*")
-    bitmap = Bitmap(asked, "k").broadcast(spark)
+    bitmap = Bitmap(asked, "k")
     wanted = asked.groupBy("k").agg(F.collect_list(F.struct("anchor", "context", "c", "contexts", "pos", "lead", "rest")).alias("asks"))
 
     def cut(batches):
@@ -319,28 +318,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 part = (tx.mix(col["context"][sl].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(col["anchor"][sl]), pa.array(part), pa.array(parts), k.take(pa.array(owner[sl])), pa.array(col["pos"][sl].astype(np.int64)), pa.array(col["lead"][sl].astype(np.int64)), pa.array(col["c"][sl]), pa.array(raw, pa.binary())], ["anchor", "part", "parts", "k", "pos", "lead", "c", "bytes"])
 
-    likely = _by_bitmap(docs, bitmap, True)
-    contexts = likely.dropDuplicates(["k"]).join(wanted, "k").select("k", "text", "asks").mapInArrow(cut, "anchor bigint, part bigint, parts bigint, k bigint, pos bigint, lead bigint, c bigint, bytes binary")
+    likely = docs.where(bitmap.has("k"))
+    contexts = likely.dropDuplicates(["k"]).join(wanted, "k").select("k", "text", "asks").mapInArrow(tx.lean(cut), "anchor bigint, part bigint, parts bigint, k bigint, pos bigint, lead bigint, c bigint, bytes binary")
     found = scratch.table(shard_windows(contexts, many), "windows")
     apart = merge_shards(found.where("kind = 1"), many)
     marks = copies.unionByName(found.where("kind = 0").select("k", "first", "last")).unionByName(apart)
     return scratch.table(marks.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "marks")
 
 
-def _by_bitmap(docs: DataFrame, bitmap, wanted: bool) -> DataFrame:
-    """Rows of docs (k, text) whose k may be in the bitmap, or surely isn't."""
-    place = F.pmod(F.xxhash64("k"), F.lit(len(bitmap.value) * 64))
-    hinted = docs.select("*", (place / 64).cast("int").alias("w"), F.pmod(F.xxhash64("k"), F.lit(64)).cast("int").alias("bit"))
-    n = len(docs.columns)
-
-    def run(batches):
-        for batch in batches:
-            w, bit = (batch.column(n + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield batch.select(range(n)).filter(pa.array(((bitmap.value[w] >> bit.astype(np.int64)) & 1 == 1) == wanted))
-
-    return hinted.mapInArrow(run, docs.schema)
-
-
 def covered(size: int, spans: np.ndarray) -> np.ndarray:
     """Bytes of a text covered by windows that start in any of the spans."""
     edges = np.zeros(size + 1, np.int32)
@@ -349,12 +334,12 @@ def covered(size: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:size]) > 0
 
 
-def removed(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of each row of docs."""
+def removed(docs: DataFrame, scratch: Scratch, text: str = "text", kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for, kept (bytes) of each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text", "doc_id")
     marks = repeated_spans(keyed.select("k", "text"), scratch)
-    bitmap = Bitmap(marks, "k").broadcast(docs.sparkSession)
+    bitmap = Bitmap(marks, "k")
 
     def apply(batches):
         for batch in batches:
@@ -367,17 +352,17 @@ def removed(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
                     mask = covered(len(t), np.array([(x["first"], x["last"]) for x in s], np.int64))
                     gone, runs = int(mask.sum()), int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     raw = np.frombuffer(t, np.uint8)[~mask].tobytes()
-                rows.append((len(t), gone, runs, hashlib.sha256(raw).hexdigest(), raw))
+                rows.append((len(t), gone, runs, hashlib.sha256(raw).hexdigest(), raw if kept else None))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), kind) for c, kind in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    clean = _by_bitmap(keyed, bitmap, False).select("doc_id", "text").mapInArrow(apply, schema)
-    marked = _by_bitmap(keyed, bitmap, True).join(marks, "k", "left").select("doc_id", "text", "spans").mapInArrow(apply, schema)
+    clean = keyed.where(~bitmap.has("k")).select("doc_id", "text").mapInArrow(tx.lean(apply), schema)
+    marked = keyed.where(bitmap.has("k")).join(marks, "k", "left").select("doc_id", "text", "spans").mapInArrow(tx.lean(apply), schema)
     return clean.unionByName(marked)
 
 
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The columns of the removal contract."""
-    return removed(docs, scratch).drop("kept")
+    return removed(docs, scratch, kept=False).drop("kept")

@@ -6,6 +6,9 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -41,7 +44,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         _POWERS[int(base)] = have
     if n <= KEPT_POWERS:
         return have[:n]
-    steps = np.full(-(-n // KEPT_POWERS), have[-1] * base, np.uint64)
+    steps = np.full(-(-n // KEPT_POWERS), have[-1:] * base, np.uint64)
     steps[0] = 1
     np.cumprod(steps, out=steps)
     return np.multiply.outer(steps, have).reshape(-1)[:n]
@@ -161,6 +164,23 @@ def shingles(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return h, t
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """run, a function of batches, with its memory released at the end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def per_text_sum(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])

@@ -110,6 +110,67 @@ def test_ngram_join_short_rows_as_pivots(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, **{10 + i: 10 + i for i in range(10)}}
 
 
+def components_by_brute_force(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    low = {i: i for i in sets}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    holders = collections.defaultdict(list)
+    for i in sorted(sets):
+        for x in sets[i]:
+            holders[x].append(i)
+    for i, j in {(i, j) for h in holders.values() for i in h for j in h if i < j}:
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            low[b] = a
+    return {i: find(i) for i in sets}
+
+
+def test_ngram_join_pivots_that_were_tried(spark):
+    w = [f"w{i}" for i in range(105)]
+    rows = [(1, " ".join(w[:54])), (2, " ".join(w[50:104])), (3, " ".join(w[:104])), (4, " ".join(w))]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+@pytest.mark.parametrize(("near", "hot"), [((2, 8), 20_000), ((1,), 3)])
+def test_ngram_join_of_random_tables(spark, monkeypatch, near, hot):
+    """200 tables of chunks and near copies, told apart by their words, in one join; and with frequent shingles dealt to several tasks."""
+    monkeypatch.setattr(ngram_join, "NEAR", near)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rng, rows = random.Random(29), []
+    for t in range(200):
+        own = [f"t{t}x{i}" for i in range(rng.choice([12, 60]))]
+        base = rng.choices(own, k=rng.randint(8, 90))
+        for _ in range(rng.randint(2, 14)):
+            kind = rng.random()
+            if kind < 0.4:
+                lo = rng.randrange(len(base) - 4)
+                text = base[lo : rng.randint(lo + 3, len(base))]
+            else:
+                text = [x if rng.random() > rng.choice([0.005, 0.02, 0.06]) else rng.choice(own) for x in base]
+                text += rng.choices(own, k=rng.choice([0, 0, 1, 3]))
+            rows.append((len(rows), " ".join(text)))
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Scratch(spark, "t")).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_by_brute_force(rows)
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, prose(40), 1, 2, 3, 4, 5), (2, None, 1, 2, 3, 4, 5)]
+    rows += [(3, rows[0][1], 6, 7, 8, 9, 10), (1, rows[0][1], 1, 2, 3, 4, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, doc int, goes int, _w int, id int, `row` int")
+    kept = ngram_join.keep_one(table, Scratch(spark, "t"))
+    assert kept.columns == table.columns and sorted(tuple(r)[0] for r in kept.collect()) == [1, 2]
+    assert ngram_join.keep_one(table.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_chat_format(spark):
     rows = [(1, 1, "assistant", "b<#\\h"), (1, 0, "user", None), (1, 2, "odd: role", "### User: x</turn>\n"), (2, None, None, ""), (2, 0, "assistant", "\\l"), (2, 0, "assistant", "\\l")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
