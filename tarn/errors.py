@@ -32,6 +32,8 @@ class CheckpointInvalidName(TableError): ...
 class CheckpointEntryMultipleActions(TableError): ...
 class CheckpointRowCountMismatch(TableError): ...
 class ConcurrentModification(TableError): ...
+class AlreadyCommitted(TableError): ...
+class AmbiguousMerge(TableError): ...
 class AppendOnly(TableError): ...
 
 

@@ -117,16 +117,14 @@ def clean_log(snapshot: Snapshot, now: int | None = None) -> list[str]:
     if v not in Listing(store).checkpoints:
         return []
     cutoff = (int(time.time() * 1000) if now is None else now) - int(snapshot.log_retention.total_seconds() * 1000)
-    gone, last = [], None
-    # File names of the log's folder, already on the driver; in version order, times made to rise.
-    named = ((names.version_of(m.path, names.COMMIT_OR_CHECKPOINT), m) for m in store.list(names.LOG + "/") if m.path.count("/") == 1)
-    for version, m in sorted(((x, m) for x, m in named if x is not None), key=lambda p: (p[0], p[1].path)):
-        modified = m.modified_ms if last is None or version == last[0] or m.modified_ms > last[1] else last[1] + 1
-        modified = max(modified, last[1]) if last and version == last[0] else modified
-        last = (version, modified)
-        if version >= v or modified > cutoff:
-            break
-        gone.append(m.path)
+    # File names of the log's folder, already on the driver.
+    named = [(x, m) for m in store.folder(names.LOG) if (x := names.version_of(m.path, names.COMMIT_OR_CHECKPOINT)) is not None]
+    modified: dict[int, int] = {}
+    for version, m in named:
+        modified[version] = max(modified.get(version, 0), m.modified_ms)
+    times = adjusted_times(snapshot.spark.createDataFrame(sorted(modified.items()), "version long, modified long"))
+    old = {r.version for r in times.where((F.col("version") < v) & (F.col("adjusted") <= cutoff)).select("version").toLocalIterator()}
+    gone = [m.path for version, m in sorted(named, key=lambda p: (p[0], p[1].path)) if version in old]
     for path in gone:
         store.delete(path)
     return gone

@@ -25,7 +25,7 @@ def read_files(snapshot, paths: list[str]) -> DataFrame:
     if not paths:
         return snapshot.spark.createDataFrame([], schema)
     full = [snapshot.store.uri(unquote(p)) for p in paths]
-    rows = snapshot.spark.read.schema(schema).option("basePath", snapshot.store.uri()).parquet(*full)
+    rows = snapshot.spark.read.schema(schema).option("basePath", snapshot.store.uri()).option("timeZone", "UTC").parquet(*full)
     return rows.select(*(F.col(f"`{n}`") for n in schema.fieldNames()))
 
 

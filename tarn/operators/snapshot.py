@@ -14,21 +14,19 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import CheckpointIncomplete, CheckpointInvalidName, InvalidVersion, NotATable, ObjectDoesNotExist, UnableToLoadVersion
+from ..errors import CheckpointEntryMultipleActions, CheckpointIncomplete, CheckpointInvalidName, InvalidVersion, NotATable, ObjectDoesNotExist, TableError, UnableToLoadVersion
 from ..functions import names, settings
 from ..sources.store import ObjectStore
 from .actions import KINDS, LOG_SCHEMA, Metadata, parsed
 
 
 class Listing:
-    """Versions and checkpoints that a log folder has."""
+    """Versions and checkpoints that a log folder has, from version `since` on."""
 
-    def __init__(self, store: ObjectStore):
-        self.store, self.commits, parts = store, {}, {}
-        for m in store.list(names.LOG + "/"):
+    def __init__(self, store: ObjectStore, since: int = 0):
+        self.store, self.since, self.commits, parts = store, since, {}, {}
+        for m in store.folder(names.LOG, names.commit_name(since)[:20]):
             base = os.path.basename(m.path)
-            if os.path.dirname(m.path) != names.LOG:
-                continue
             v = names.version_of(base)
             if v is not None and m.size:
                 self.commits[v] = m
@@ -52,6 +50,17 @@ class Listing:
         return start
 
 
+def recent(store: ObjectStore) -> Listing:
+    """The listing from the checkpoint that _last_checkpoint names, if that is whole; else of the whole log."""
+    hint = last_checkpoint(store)
+    version = hint.get("version") if isinstance(hint, dict) else None
+    if isinstance(version, int) and version > 0:
+        found = Listing(store, version)
+        if version in found.checkpoints and version in found.commits:
+            return found
+    return Listing(store)
+
+
 def checkpoint_exists(store: ObjectStore, version: int, validate_parts: bool = True) -> bool:
     found = Listing(store)
     if version not in found.any_parts:
@@ -86,50 +95,67 @@ class Snapshot:
 
     def __init__(self, spark: SparkSession, store: ObjectStore, version: int | None = None):
         self.spark, self.store = spark, store
-        found = Listing(store)
+        found = recent(store) if version is None else Listing(store)
         if version is None:
             version = found.latest()
         if version not in found.commits:
             raise InvalidVersion(str(version)) if found.commits or found.checkpoints else NotATable(store.uri())
         self.version = version
+        try:
+            self._load(found)
+        except (TableError, PySparkException, Py4JJavaError):
+            if not found.since:
+                raise
+            self._load(Listing(store))  # what the hint names can't be read: an earlier state may do
+        moves = self.log.where("add is not null or remove is not null").select(
+            F.coalesce("add.path", "remove.path").alias("path"), F.col("add").isNotNull().cast("int").alias("is_add"), "version", "block", "pos", "add", "remove"
+        )
+        last = newest(moves, "path", "version", "is_add", "block", "pos")
+        self.files = last.where("is_add = 1").select("add.*")
+        self.tombstones = last.where("is_add = 0").select("remove.*")
+        self.txns = newest(self.log.where("txn is not null"), "txn.appId", "version", "block", "pos").select("txn.*")
+
+    def _load(self, found: Listing) -> None:
+        version, spoilt = self.version, None
         for base in [*sorted((v for v in found.checkpoints if v <= version), reverse=True), None]:
             tail = list(range((-1 if base is None else base) + 1, version + 1))
             missing = [v for v in tail if v not in found.commits]
             if missing:
                 if base is None:
-                    raise UnableToLoadVersion(f"version {version} needs commit {missing[0]}")
+                    raise spoilt or UnableToLoadVersion(f"version {version} needs commit {missing[0]}")
                 continue
             try:
                 self.log = self._records(base, found.checkpoints.get(base), tail)
-                self._scalars()
+                self._scalars(base, found.checkpoints.get(base))
                 break
-            except (PySparkException, Py4JJavaError) as e:  # a checkpoint that can't be read: an earlier one may do
+            except (PySparkException, Py4JJavaError, CheckpointIncomplete, CheckpointEntryMultipleActions) as e:  # a checkpoint that can't be read: an earlier one may do
                 if base is None or "unknown log record" in str(e):
                     raise
+                spoilt = e
         self.checkpoint_version = base
-        moves = self.log.where("add is not null or remove is not null").select(
-            F.coalesce("add.path", "remove.path").alias("path"), F.col("add").isNotNull().cast("int").alias("is_add"), "version", "block", "pos", "add", "remove"
-        )
-        last = newest(moves, "path", "version", "is_add", "block", "pos")
-        self.files = last.where("is_add = 1").select("add.*")
-        self.tombstones = last.where("is_add = 0").select("remove.*")
-        self.txns = newest(self.log.where("txn is not null"), "txn.appId", "version", "block", "pos").select("txn.*")
 
     def _records(self, base: int | None, parts: int | None, tail: list[int]) -> DataFrame:
         out = read_commits(self.spark, self.store, tail) if tail else None
         if base is not None:
             paths = [self.store.uri(f"{names.LOG}/{n}") for n in names.checkpoint_names(base, parts)]
-            rows = self.spark.read.schema(LOG_SCHEMA).parquet(*paths).select(F.lit(base).cast("long").alias("version"), F.lit(-1).cast("long").alias("block"), F.lit(-1).cast("long").alias("pos"), *KINDS)
+            rows = self.spark.read.schema(LOG_SCHEMA).parquet(*paths).select(F.lit(base).cast("long").alias("version"), F.lit(-1).cast("long").alias("block"), F.crc32(F.col("_metadata.file_name")).alias("pos"), *KINDS)
             out = rows if out is None else out.unionByName(rows)
         return out
 
-    def _scalars(self) -> None:
-        """The last protocol and metadata: a handful of records among all."""
+    def _scalars(self, base: int | None, parts: int | None) -> None:
+        """The last protocol and metadata: a handful of records among all. A checkpoint's rows have one record each, and each part has rows."""
         place = F.struct("version", "block", "pos")
+        kinds = sum((F.col(k).isNotNull().cast("int") for k in KINDS), F.lit(0))
         row = self.log.agg(
+            F.count_if((F.col("block") == -1) & (kinds > 1)).alias("several"),
+            F.count_distinct(F.when(F.col("block") == -1, F.col("pos"))).alias("parts"),
             F.max_by("protocol", F.when(F.col("protocol.minReaderVersion") > 0, place)).alias("protocol"),
             F.max_by("metaData", F.when(F.col("metaData").isNotNull(), place)).alias("metaData"),
         ).first()
+        if row.several:
+            raise CheckpointEntryMultipleActions(f"checkpoint {base}")
+        if base is not None and row.parts < parts:
+            raise CheckpointIncomplete(f"checkpoint {base} has empty parts")
         self.protocol = row.protocol.asDict(True) if row.protocol else None
         self.metadata = Metadata.from_action(row.metaData.asDict(True)) if row.metaData else None
 

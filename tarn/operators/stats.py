@@ -82,6 +82,14 @@ class P:
         v = F.lit(self.value) if self.op not in ("in", "null") else None
         return {"=": lambda: c == v, "<": lambda: c < v, "<=": lambda: c <= v, ">": lambda: c > v, ">=": lambda: c >= v, "in": lambda: c.isin(*self.value), "null": lambda: c.isNull()}[self.op]()
 
+    def __str__(self) -> str:
+        if self.op in ("and", "or"):
+            return f" {self.op.upper()} ".join(f"({p})" for p in self.parts)
+        if self.op == "null":
+            return f"{self.column} IS NULL"
+        shown = lambda v: str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+        return f"{self.column} IN ({', '.join(map(shown, self.value))})" if self.op == "in" else f"{self.column} {self.op} {shown(self.value)}"
+
     def columns(self) -> set[str]:
         return {self.column} if self.column else set().union(*(p.columns() for p in self.parts))
 

@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
-from urllib.parse import unquote
+from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import AppendOnly, NotATable, ObjectDoesNotExist, ProtocolTooHigh
+from ..errors import AlreadyCommitted, AmbiguousMerge, AppendOnly, NotATable, ObjectDoesNotExist, ProtocolTooHigh
 from ..functions import names, settings
 from ..sources.coordination import Lock, MemoryState, NoLock, StateStore
-from ..sources.store import FileStore, ObjectStore
+from ..sources.store import ObjectStore, store_of
 from . import actions as A
 from .commit import Options, Transaction
 from .scan import matching_files, read_files, scan
-from .snapshot import Listing, Snapshot
+from .snapshot import Listing, Snapshot, recent
 from .stats import P, file_stats
 
 
+#: Size of the files that optimize() makes.
+TARGET_BYTES = 128 << 20
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession):
+    """Data files have UTC texts and microsecond timestamps, whatever the session says; it gets its settings back."""
+    wanted = {"spark.sql.session.timeZone": "UTC", "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@dataclass
+class Head:
+    """What a blind append needs to know of the last version."""
+
+    version: int
+    metadata: A.Metadata
+    apps: dict[str, int | None] = field(default_factory=dict)
+
+
 class LakeTable:
     def __init__(self, spark: SparkSession, path: str | ObjectStore, lock: Lock | None = None, state: StateStore | None = None):
         self.spark = spark
-        self.store = path if isinstance(path, ObjectStore) else FileStore(path)
+        self.store = path if isinstance(path, ObjectStore) else store_of(spark, path)
         self.lock, self.state, self.version = lock or NoLock(), state or MemoryState(), -1
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+        self._head: Head | None = None
 
     # Life cycle
 
@@ -57,13 +85,32 @@ class LakeTable:
         return s
 
     def latest_version(self) -> int:
-        return Listing(self.store).latest()
+        return recent(self.store).latest()
 
     def sync_state(self) -> None:
-        try:
-            self.state.put(self.latest_version())
-        except NotATable:
-            self.state.put(-1)
+        """Under the lock: no commit moves the state meanwhile."""
+        with self.lock:
+            try:
+                self.state.put(self.latest_version())
+            except NotATable:
+                self.state.put(-1)
+
+    def head(self, app: str | None = None) -> Head:
+        """The last version's schema and settings. The log is replayed again only if others have committed since, or if an application is asked for the first time."""
+        h = self._head
+        if h is None or (app is not None and app not in h.apps) or Listing(self.store, h.version).latest() != h.version:
+            s = self.snapshot()
+            h = self._head = Head(s.version, s.metadata, {} if app is None else {app: s.app_version(app)})
+        return h
+
+    def advanced(self, version: int, actions: list[dict]) -> None:
+        """This table's own commit has made the version."""
+        h = self._head
+        if h is not None and version == h.version + 1 and not any("metaData" in a or "protocol" in a for a in actions):
+            h.version = version
+            h.apps.update({a["txn"]["appId"]: a["txn"]["version"] for a in actions if "txn" in a})
+        else:
+            self._head = None
 
     def transaction(self, options: Options | None = None) -> Transaction:
         return Transaction(self, options)
@@ -76,15 +123,16 @@ class LakeTable:
     def stage(self, rows: DataFrame, partition_columns: list[str]) -> list[dict]:
         """Write rows as data files and return their adds, statistics from one aggregate over the new files."""
         staging = f"_staging/{uuid.uuid4().hex}"
-        writer = rows.write
-        if partition_columns:
-            writer = writer.partitionBy(*partition_columns)
-        writer.parquet(self.store.uri(staging))
-        kind = T.StructType([f for f in rows.schema.fields if f.name not in partition_columns])
-        data = self.spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(self.store.uri(staging))
         stats = {}
-        for r in file_stats(data).collect():  # a row a file, as many as the adds of the commit
-            stats[unquote(r.path).split(staging + "/", 1)[1]] = (r.numRecords, r.stats)
+        with writing(self.spark):
+            writer = rows.write
+            if partition_columns:
+                writer = writer.partitionBy(*partition_columns)
+            writer.parquet(self.store.uri(staging))
+            kind = T.StructType([f for f in rows.schema.fields if f.name not in partition_columns])
+            data = self.spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(self.store.uri(staging))
+            for r in file_stats(data).collect():  # a row a file, as many as the adds of the commit
+                stats[unquote(r.path).split(staging + "/", 1)[1]] = (r.numRecords, r.stats)
         adds = []
         for m in self.store.list(staging + "/"):
             inner = m.path[len(staging) + 1 :]
@@ -94,22 +142,30 @@ class LakeTable:
             if not n:  # no rows: not a file of the table
                 continue
             values = dict(p.split("=", 1) for p in os.path.dirname(inner).split("/") if "=" in p)
-            values = {k: None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for k, v in values.items()}
+            values = {unquote(k): None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for k, v in values.items()}
             self.store.rename(m.path, inner)
-            adds.append(A.add(inner, m.size, values, text, m.modified_ms))
+            adds.append(A.add(quote(inner, safe="/=-_.~ "), m.size, values, text, m.modified_ms))  # the log has the file's name as a URI
         self.store.delete_folder(staging)
         return adds
 
     def append(self, rows: DataFrame, txn: tuple[str, int] | None = None, info: dict | None = None) -> int:
         """A blind append; with txn (application, version), once only."""
-        s = self.snapshot()
-        if txn and (seen := s.app_version(txn[0])) is not None and seen >= txn[1]:
+        s = self.head(txn[0] if txn else None)
+        if txn and (seen := s.apps[txn[0]]) is not None and seen >= txn[1]:
             return s.version
-        adds = self.stage(self._conform(rows, s), s.metadata.partition_columns)
+        read, columns = s.version, s.metadata.partition_columns
+        adds = self.stage(self._conform(rows, s), columns)
         t = self.transaction().add_actions(*adds, *([A.txn(*txn)] if txn else []))
-        return t.set_operation(info or A.write_info("Append", s.metadata.partition_columns)).commit()
+        if txn:
+            t.only_once(*txn, read)
+        try:
+            return t.set_operation(info or A.write_info("Append", columns)).commit()
+        except AlreadyCommitted:  # another writer was first with the same version of the application
+            for a in adds:
+                self.store.delete(unquote(a["add"]["path"]))
+            return self.latest_version()
 
-    def _conform(self, rows: DataFrame, s: Snapshot) -> DataFrame:
+    def _conform(self, rows: DataFrame, s: Snapshot | Head) -> DataFrame:
         return rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in s.metadata.schema.fields))
 
     def save(self, rows: DataFrame, mode: str = "errorifexists", partition_columns: list[str] | None = None, configuration: dict | None = None, replace_where: P | None = None) -> int:
@@ -144,7 +200,7 @@ class LakeTable:
             return self._change(s, s.files.collect(), self._conform(rows, s), A.write_info("Overwrite", s.metadata.partition_columns))
         touched = matching_files(s, replace_where).collect()
         rest = read_files(s, [r.path for r in touched]).where(~F.coalesce(replace_where.rows(), F.lit(False)))
-        return self._change(s, touched, rest.unionByName(self._conform(rows, s)), A.write_info("Overwrite", s.metadata.partition_columns, [replace_where.column]))
+        return self._change(s, touched, rest.unionByName(self._conform(rows, s)), A.write_info("Overwrite", s.metadata.partition_columns, [str(replace_where)]))
 
     def delete(self, where: P) -> int:
         """Rewrite the files that may have matching rows without them."""
@@ -161,22 +217,52 @@ class LakeTable:
         return self._change(s, touched, rows.withColumns(new), A.write_info("Update"))
 
     def merge(self, source: DataFrame, on: list[str]) -> int:
-        """Upsert: source rows replace the table's rows of equal keys, others are added."""
+        """Upsert: source rows replace the table's rows of equal keys, others are added. Only files whose statistics allow a key of the source are rewritten.
+
+        A key that the source has twice raises AmbiguousMerge; a key with a null matches nothing.
+        """
         s = self.snapshot()
-        touched = s.files.collect()
+        twice = source.where(" AND ".join(f"`{k}` IS NOT NULL" for k in on)).groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1").first()
+        if twice:
+            raise AmbiguousMerge(f"the source has {twice['_n']} rows of {[twice[k] for k in on]}")
+        bounded = [k for k in on if isinstance(s.metadata.schema[k].dataType, (T.IntegralType, T.StringType, T.DateType))]
+        where = None
+        if bounded:
+            ends = source.agg(*(f(k).alias(f"{n}{i}") for i, k in enumerate(bounded) for n, f in (("a", F.min), ("b", F.max)))).first()
+            for i, k in enumerate(bounded):
+                if ends[f"a{i}"] is not None:
+                    inside = (P(k) >= ends[f"a{i}"]) & (P(k) <= ends[f"b{i}"])
+                    where = inside if where is None else where & inside
+        touched = matching_files(s, where).collect()
         kept = read_files(s, [r.path for r in touched]).join(source.select(*on).distinct(), on, "left_anti")
         rows = self._conform(kept, s).unionByName(self._conform(source, s))
         return self._change(s, touched, rows, A.write_info("Merge"))
 
-    def optimize(self, target_files: int = 1) -> int:
-        """Rewrite the rows into fewer files; no data changes."""
+    def optimize(self, target_bytes: int = TARGET_BYTES) -> int:
+        """Rewrite files below the target size into files of about that size, each partition's apart; no data changes."""
         s = self.snapshot()
-        touched = s.files.collect()
-        if len(touched) <= target_files:
+        small = s.files.where(F.col("size") < target_bytes)
+        parts = small.groupBy(F.to_json("partitionValues").alias("values")).agg(F.sum("size").alias("bytes"), F.count("*").alias("files"))
+        parts = parts.where(F.col("files") > F.ceil(F.col("bytes") / target_bytes))
+        touched = small.withColumn("values", F.to_json("partitionValues")).join(parts.select("values"), "values", "left_semi").drop("values").collect()
+        if not touched:
             return s.version
-        rows = read_files(s, [r.path for r in touched]).repartition(target_files)
+        files = max(1, -(-sum(r.size for r in touched) // target_bytes))
+        rows, columns = read_files(s, [r.path for r in touched]), s.metadata.partition_columns
+        # A partition's rows meet in one task up to the target size, and in several beyond it.
+        rows = rows.repartition(files + len({str(r.partitionValues) for r in touched}) - 1, *columns, F.pmod(F.xxhash64(*rows.columns), F.lit(files))) if columns and files > 1 else rows.repartition(files, *columns)
         return self._change(s, touched, rows, A.write_info("Optimize"), data_change=False, everything=False, optimize=True)
 
+    def restore(self, version: int) -> int:
+        """Make the files of an earlier version the table's again: one commit of removes and adds."""
+        s, old = self.snapshot(), self.snapshot(version)
+        gone = s.files.join(old.files.select("path"), "path", "left_anti").collect()
+        back = old.files.join(s.files.select("path"), "path", "left_anti").collect()
+        adds = [A.add(r.path, r.size, dict(r.partitionValues or {}), r.stats, r.modificationTime) for r in back]
+        changed = [old.metadata.action()] if old.metadata.action() != s.metadata.action() else []
+        t = self.transaction().add_actions(*changed, *self._removes(gone), *adds).set_operation({"operation": "tarn.Restore", "operationParameters": {"version": str(version)}})
+        return t.reading(s, [r.path for r in gone], True).commit()
+
     def remove_files(self, paths: list[str]) -> int:
         s = self.snapshot()
         files = s.files.where(F.col("path").isin(paths)).collect()
@@ -187,9 +273,11 @@ class LakeTable:
         from .checkpoint import kept_tombstones
 
         s = self.snapshot()
-        kept = {unquote(r.path) for r in s.files.select("path").unionByName(kept_tombstones(s, now).select("path")).toLocalIterator()}
+        kept = s.files.select("path").unionByName(kept_tombstones(s, now).select("path"))
         cutoff = (A.now_ms() if now is None else now) - int(s.file_retention.total_seconds() * 1000)
-        gone = [m.path for m in self.store.list("") if not m.path.startswith((names.LOG, "_")) and m.path.endswith(".parquet") and m.path not in kept and m.modified_ms <= cutoff]
+        old = [(quote(m.path, safe="/=-_.~ "), m.path) for m in self.store.iterate() if not m.path.startswith((f"{names.LOG}/", "_staging/")) and m.path.endswith(".parquet") and m.modified_ms <= cutoff]
+        listed = self.spark.createDataFrame(old, "path string, name string")
+        gone = [r.name for r in listed.join(kept, "path", "left_anti").orderBy("name").toLocalIterator()]
         for path in [] if dry_run else gone:
             try:
                 self.store.delete(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -16,7 +15,9 @@ from ..functions import bounds, names, schema, settings
 from ..operators import actions as A
 from ..operators import checkpoint as C
 from ..operators.snapshot import Snapshot, history, newest
+from ..operators.scan import matching_files
 from ..operators.stats import P, file_stats
+from ..errors import AlreadyCommitted, AmbiguousMerge
 from ..operators.table import LakeTable
 from ..streaming import sink
 
@@ -41,8 +42,12 @@ def src(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def new_table(spark: SparkSession) -> LakeTable:
     """An empty place in the shared folder, where there is one; a table of its own each call."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    return LakeTable(spark, os.path.join(root, "tarn-lake", uuid.uuid4().hex))
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(os.getcwd() if os.access(os.getcwd(), os.W_OK) else os.path.expanduser("~"), ".tarn-lake")
+    return LakeTable(spark, f"{root.removeprefix('file://').rstrip('/')}/tarn-lake/{uuid.uuid4().hex}")
 
 
 def sliced(spark: SparkSession, rows: DataFrame, key: str, n: int = 4, partition: list[str] | None = None, configuration: dict | None = None) -> LakeTable:
@@ -208,20 +213,24 @@ def file_stats_nulls(spark, d):
     return _slice_files(spark, rows, "event_id").select("slice", F.get_json_object("stats", "$.numRecords").cast("long").alias("n"), F.get_json_object("stats", "$.nullCount.event_type").cast("long").alias("nulls"))
 
 
-@query("SELECT count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 500")
+@query("SELECT count(*) AS n, sum(l_quantity) AS qty, true AS most_skipped FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 500")
 def data_skipping(spark, d):
     rows = lines(spark, d)
     t = new_table(spark).create(A.Metadata(rows.schema))
     t.append(rows.repartitionByRange(8, "l_orderkey"))
     where = (P("l_orderkey") >= 100) & (P("l_orderkey") < 500)
-    return t.read(where=where).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+    s = t.snapshot()
+    most = matching_files(s, where).count() * 2 <= s.file_count()
+    return t.read(where=where).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.lit(most).alias("most_skipped"))
 
 
-@query("SELECT l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+@query("SELECT l_linestatus, count(*) AS n, sum(l_quantity) AS qty, 'R' AS partitions FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
 def partition_prune(spark, d):
     t = new_table(spark).create(A.Metadata(lines(spark, d).schema, ["l_returnflag"]))
     t.append(lines(spark, d))
-    return t.read(where=P("l_returnflag") == "R").groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+    where = P("l_returnflag") == "R"
+    left = matching_files(t.snapshot(), where).agg(F.array_join(F.array_sort(F.collect_set(F.col("partitionValues")["l_returnflag"])), ",")).first()[0]
+    return t.read(where=where).groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty")).withColumn("partitions", F.lit(left))
 
 
 @query("SELECT count(*) AS n FROM lineitem")
@@ -258,7 +267,7 @@ def feature_set_distinct(spark, d):
     return src(spark, d, "events").agg(F.array_sort(F.array_distinct(F.collect_set("event_type"))).alias("x")).select(F.explode("x").alias("feature"))
 
 
-@query()
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings']) AS name, true AS same")
 def schema_roundtrip(spark, d):
     out = []
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
@@ -329,6 +338,49 @@ def rollup_on_lake(spark, d):
     return sliced(spark, src(spark, d, "orders"), "o_orderkey", 2).read().rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube_on_lake(spark, d):
+    return sliced(spark, src(spark, d, "orders"), "o_orderkey", 2).read().cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def grouping_sets_on_lake(spark, d):
+    o = sliced(spark, src(spark, d, "orders"), "o_orderkey", 2).read()
+    return o.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, ntile(3) OVER w AS third, round(percent_rank() OVER w, 6) AS rank, lead(o_orderkey) OVER w AS after, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def window_frames_on_lake(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = sliced(spark, src(spark, d, "orders"), "o_orderkey", 2).read()
+    return o.select("o_custkey", "o_orderkey", F.ntile(3).over(w).cast("long").alias("third"), F.round(F.percent_rank().over(w), 6).alias("rank"), F.lead("o_orderkey").over(w).alias("after"), F.sum("o_orderkey").over(w.rowsBetween(-2, 0)).alias("moving"))
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_custkey >= n_nationkey * 100 AND c_custkey < n_nationkey * 100 + 250 GROUP BY 1")
+def range_join_on_lake(spark, d):
+    """Intervals that overlap: both sides are dealt to cells of the line, so it is an equi-join with the range as filter."""
+    n = src(spark, d, "nation").select("n_name", (F.col("n_nationkey") * 100).cast("long").alias("lo"), (F.col("n_nationkey") * 100 + 250).cast("long").alias("hi"))
+    c = sliced(spark, src(spark, d, "customer"), "c_custkey", 2).read().withColumn("cell", F.floor(F.col("c_custkey") / 250))
+    cells = n.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / 250), F.floor((F.col("hi") - 1) / 250))))
+    return c.join(cells, "cell").where("c_custkey >= lo AND c_custkey < hi").groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
+def interval_join_on_lake(spark, d):
+    e = sliced(spark, src(spark, d, "events"), "event_id", 2).read()
+    a = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("t"))
+    b = e.where("event_type = 'purchase'").select("user_id", "ts")
+    return a.join(b, "user_id").where("ts > t AND ts <= t + INTERVAL 1 HOUR").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, true AS users_near, true AS median_near FROM events GROUP BY 1")
+def approximate_on_lake(spark, d):
+    """Sketches against exact answers: distinct users within 10 %, the median between the exact 45th and 55th percentile."""
+    e = sliced(spark, src(spark, d, "events"), "event_id", 2).read()
+    out = e.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("a"), F.count_distinct("user_id").alias("b"), F.percentile_approx("value", 0.5).alias("m"), F.percentile("value", [0.45, 0.55]).alias("p"))
+    return out.select("event_type", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("users_near"), F.col("m").between(F.col("p")[0], F.col("p")[1]).alias("median_near"))
+
+
 @query("SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'some' ELSE 'none' END AS orders FROM customer")
 def semi_anti_on_lake(spark, d):
     c, o = src(spark, d, "customer"), sliced(spark, src(spark, d, "orders"), "o_orderkey", 2).read()
@@ -355,11 +407,13 @@ def setops_on_lake(spark, d):
 # Changes and maintenance
 
 
-@query("SELECT * FROM orders")
+@query("SELECT *, true AS fewer, CAST(1 AS BIGINT) AS files FROM orders")
 def optimize_compaction(spark, d):
     t = sliced(spark, src(spark, d, "orders"), "o_orderkey")
+    before = t.snapshot().file_count()
     t.optimize()
-    return t.read()
+    after = t.snapshot().file_count()
+    return t.read().withColumns({"fewer": F.lit(after < before), "files": F.lit(after).cast("long")})
 
 
 @query("SELECT * FROM orders WHERE NOT (o_orderkey >= 100 AND o_orderkey < 900)")
@@ -392,11 +446,75 @@ def overwrite_replace_where(spark, d):
     return t.read()
 
 
-@query("SELECT * FROM nation WHERE n_nationkey % 2 = 1")
+@query("SELECT *, true AS only_removed_gone FROM nation WHERE n_nationkey % 2 = 1")
 def vacuum_keeps_active(spark, d):
     t = sliced(spark, src(spark, d, "nation"), "n_nationkey", 2)
-    t.remove_files(slice_paths(t, 1))
+    dead, live = slice_paths(t, 1), slice_paths(t, 2)
+    t.remove_files(dead)
+    gone = t.vacuum(now=A.now_ms() + 8 * 86_400_000)
+    right = sorted(gone) == sorted(dead) and not any(map(t.store.exists, dead)) and all(map(t.store.exists, live))
+    return t.read().withColumn("only_removed_gone", F.lit(right))
+
+
+@query("SELECT event_id, event_type || '/a=b c%2F' || CAST(user_id % 3 AS VARCHAR) AS p FROM events")
+def partition_escapes(spark, d):
+    """Partition values that a path can't hold as they are, written, read, pruned and compacted."""
+    p = F.concat("event_type", F.lit("/a=b c%2F"), (F.col("user_id") % 3).cast("string"))
+    t = sliced(spark, src(spark, d, "events").select("event_id", p.alias("p")), "event_id", 2, ["p"])
+    t.optimize()
     t.vacuum(now=A.now_ms() + 8 * 86_400_000)
+    values = [r.p for r in t.read().select("p").distinct().orderBy("p").collect()]
+    half = P("p").isin(*values[::2])
+    return t.read(where=half).unionByName(t.read(where=P("p").isin(*values[1::2])))
+
+
+@query("SELECT event_id, 'AlreadyCommitted' AS second FROM events")
+def txn_conflict(spark, d):
+    """Two writers pass the check of one application's version; the log takes one of them."""
+    rows = src(spark, d, "events").select("event_id")
+    one = new_table(spark).create(A.Metadata(rows.schema))
+    two, said = LakeTable(spark, one.store), ""
+    seen = two.head("app").version
+    adds = two.stage(rows, [])
+    one.append(rows, ("app", 1))
+    try:
+        two.transaction().add_actions(*adds, A.txn("app", 1)).only_once("app", 1, seen).commit()
+    except AlreadyCommitted as e:
+        said = type(e).__name__
+    two.append(rows, ("app", 1))
+    return one.read().withColumn("second", F.lit(said))
+
+
+@query("SELECT c_custkey, c_acctbal, true AS refused FROM customer WHERE c_custkey % 2 = 0")
+def merge_duplicates(spark, d):
+    """A source with a key twice is refused, and the table is as it was."""
+    c, refused = src(spark, d, "customer").select("c_custkey", "c_acctbal"), False
+    t = sliced(spark, c.where("c_custkey % 2 = 0"), "c_custkey", 2)
+    try:
+        t.merge(c.where("c_custkey <= 10").unionByName(c.where("c_custkey = 4")), ["c_custkey"])
+    except AmbiguousMerge:
+        refused = True
+    return t.read().withColumn("refused", F.lit(refused))
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 4 < 2")
+def restore_version(spark, d):
+    t = sliced(spark, src(spark, d, "orders"), "o_orderkey")
+    t.delete(P("o_orderkey") < 1000)
+    t.restore(2)
+    return t.read()
+
+
+@query("SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 2 = 0")
+def save_modes(spark, d):
+    """errorifexists makes the table, ignore leaves it, append adds, overwrite of a part replaces it."""
+    c = src(spark, d, "customer")
+    t = new_table(spark)
+    t.save(c.where("c_custkey % 2 = 0"))
+    t.save(c, "ignore")
+    t.save(c.withColumn("c_acctbal", F.lit(0.0)), "append")
+    t.save(c, "overwrite")
+    t.save(c.where("c_custkey % 2 = 0"), "append")
     return t.read()
 
 
@@ -412,6 +530,30 @@ def stream_append_idempotent(spark, d):
     return t.read()
 
 
+@query("SELECT event_id, user_id FROM events")
+def stream_sink(spark, d):
+    """A Structured Streaming query into a table, stopped and started again from its checkpoint."""
+    s = src(spark, d, "events").select("event_id", "user_id")
+    t = new_table(spark).create(A.Metadata(s.schema))
+    s.repartition(3).write.parquet(t.store.uri("_source"))
+    for _ in range(2):
+        rows = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(t.store.uri("_source"))
+        sink.write_stream(rows, t, "events").option("checkpointLocation", t.store.uri("_stream")).trigger(availableNow=True).start().awaitTermination()
+    return LakeTable(spark, t.store).read()
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def stream_source(spark, d):
+    """One table follows another's log; rows that are only rearranged don't come again."""
+    s = src(spark, d, "nation").select("n_nationkey", "n_name")
+    t, out = sliced(spark, s, "n_nationkey", 3), new_table(spark).create(A.Metadata(s.schema))
+    follow = lambda: sink.read_stream(t, lambda rows, k: out.append(rows, ("follow", k)), 2).option("checkpointLocation", out.store.uri("_follow")).trigger(availableNow=True).start().awaitTermination()
+    follow()
+    t.optimize()
+    follow()
+    return out.read()
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(spark, d):
     out = sink.windowed_counts(src(spark, d, "events"), "ts", "event_type")

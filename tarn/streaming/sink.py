@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..functions import names
 from ..operators import actions as A
 from ..operators.scan import read_files
 from ..operators.snapshot import Snapshot, read_commits
@@ -21,6 +22,22 @@ def write_stream(rows: DataFrame, table: LakeTable, app: str, mode: str = "appen
     return rows.writeStream.outputMode(mode).foreachBatch(batch)
 
 
+def read_stream(table: LakeTable, handle, max_commits: int = 100) -> DataStreamWriter:
+    """Tail the log: handle(rows, number) gets the rows that new commits add as new data, a micro-batch of commits at a time.
+
+    Spark's file source remembers the commits that it has handed on, so a restart goes on where the last run ended.
+    """
+    lines = table.spark.readStream.schema("value string").option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", max_commits).text(table.store.uri(names.LOG))
+
+    def batch(df: DataFrame, number: int) -> None:
+        add = F.from_json(F.get_json_object("value", "$.add"), "path string, dataChange boolean")
+        paths = [r.path for r in df.select(add.alias("a")).where("a.dataChange").select("a.path").distinct().collect()]
+        if paths:
+            handle(read_files(table.snapshot(), paths), number)
+
+    return lines.writeStream.foreachBatch(batch)
+
+
 def changes(table: LakeTable, after: int, until: int | None = None) -> DataFrame:
     """Rows of files that commits after version `after` added as new data; rearranged files (dataChange false) are left out."""
     s: Snapshot = table.snapshot(until)

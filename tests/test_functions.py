@@ -36,7 +36,7 @@ def test_schema_round_trip_and_order():
     assert schema.render(s).startswith('{"type":"struct","fields":[{"name":"a","type":{"type":"struct"')
 
 
-@pytest.mark.parametrize("change", [{"name": ""}, {"name": None}, {"type": None}, {"type": "unknown"}, {"nullable": "hello"}, {"metadata": None}, {"type": {"type": "array", "elementType": "long"}}])
+@pytest.mark.parametrize("change", [{"name": ""}, {"name": None}, {"type": None}, {"type": "unknown"}, {"nullable": 3}, {"metadata": None}, {"type": {"type": "array", "elementType": "long"}}])
 def test_schema_rejects(change):
     field = {"name": "x", "type": "long", "nullable": True, "metadata": {}} | change
     with pytest.raises(ParseSchema):
@@ -53,8 +53,9 @@ def test_records():
 
 
 def test_string_bounds(spark):
-    d = "12345678901234567890123456789012"
-    rows = [("asdf8765>}", "asdf8765>}", "asdf8765>}"), ("Hello, 世界", "Hello, 世界", "Hello, 世界"), ("", "", ""), (d, d, d + "�"), (d + "1", d, d + "�"), (d + "￿￾123", d, d + "￿￾�")]
+    d, high, tie = "ab" * 16, "\U0001f40b", chr(0xFFFD)
+    # 31, 32 and 33 characters; characters beyond the tie-breaker where the cut falls.
+    rows = [(d[1:], d[1:], d[1:]), (d, d, d + tie), (d + "a", d, d + tie), ("", "", ""), (high * 3, high * 3, high * 3), (d + high + "zz", d, d + high + tie)]
     df = spark.createDataFrame(rows, "s string, lo string, hi string").select("lo", "hi", bounds.string_min(F.col("s")).alias("a"), bounds.string_max(F.col("s")).alias("b"))
     for r in df.collect():
         assert (r.a, r.b) == (r.lo, r.hi)
