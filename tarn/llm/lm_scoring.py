@@ -1,21 +1,27 @@
 """Language-model scores by a subword lattice.
 
-A text is its words and one end. A word's probability sums over all its segmentations into pieces
-of a public vocabulary, plus one arc for the word itself if the corpus has it: log-space forward
-recursion over the lattice. The piece scores that come with the vocabulary (merge ranks) start the
-model; one expectation step over every distinct training word re-estimates them. Word arcs carry
-absolutely discounted counts, and what the discount takes is the mass of the piece paths, so all
-words together have probability one with the end.
+A text is its words and one end. A word's probability sums over all its segmentations into pieces of
+a public vocabulary, by log-space forward recursion over the lattice. The vocabulary's own scores
+weight the pieces: they are merge ranks, read as 1 / (rank + 100), and keep SCORES of each piece's
+weight; the rest is the uses that one expectation step over every distinct training word gives it.
+One arc more goes from a word's start to its end, with the word's share of the training tokens.
+A single weight, for all words, mixes that arc with the lattice: of the WEIGHTS, the one under which
+the training tokens are likeliest, each left out of the counts in turn. Words and the end together
+have probability one.
 
 Word counts, and the table of every distinct word, cover all documents and are joined, not
 broadcast; only words at or above a count that keeps at most HEAD of them are broadcast.
 
 Edge cases: null and empty texts are one end token; without training texts the pieces alone score;
-bytes outside the vocabulary have their byte piece; repeated rows each get their row.
+bytes outside the vocabulary have their byte piece; a word of any length is scored whole, and however
+unlikely it is, its score is the lattice's; repeated rows each get their row; an empty table gives no rows.
+Columns other than doc_id and text are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,10 +33,13 @@ from .runtime import Scratch
 
 #: Most words whose scores are broadcast (16 bytes each).
 HEAD = 1 << 18
-#: Size in bytes up to which the lattice looks for pieces at least; a vocabulary with longer ones raises it to its longest.
-LONGEST = 20
 LOG10 = np.log(10)
-DISCOUNT = 0.75
+#: Share of a piece's weight that comes from the vocabulary's scores.
+SCORES = 0.1
+#: Weights of the whole-word arc that are tried.
+WEIGHTS = (0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995)
+#: Words of one length that go through the lattice in lockstep at least; fewer go one by one. Ends of a word looked at once.
+LOCKSTEP, ENDS = 32, 1 << 14
 
 
 class Lattice:
@@ -53,7 +62,7 @@ class Lattice:
             scores += [-1e6, -1e6]
         pieces.append(b" ")
         scores.append(-1e6)
-        self.longest = max(LONGEST, max(map(len, pieces)))
+        self.longest = max(map(len, pieces))
         table = pd.DataFrame({"piece": pieces, "score": scores}).groupby("piece", as_index=False).score.max()
         data, offsets = tx.utf8(pa.array(table.piece.tolist(), pa.binary()))
         h = tx.SpanHash(tx.byte_values(data))(offsets[:-1], offsets[1:])
@@ -61,7 +70,8 @@ class Lattice:
         self.hash = h[order]
         self.opens = np.array([p[:1] == b" " for p in table.piece], bool)[order]
         rank = np.minimum(-table.score.to_numpy()[order], 1e5)
-        self.set(1.0 / (rank + 100.0), 0.35)
+        self.scores = 1.0 / (rank + 100.0)
+        self.set(self.scores, 0.35)
 
     def set(self, weight: np.ndarray, stop: float) -> None:
         """Normalise weights within openers, and within the others with the stop's share."""
@@ -90,6 +100,13 @@ class Lattice:
             length = int(size[group[0]]) if len(group) else 0
             if not length:
                 continue
+            if len(group) < LOCKSTEP:
+                for g in group.tolist():
+                    out[g], u = self._single(spans, int(offsets[g]), length, expect)
+                    if expect:
+                        uses += u
+                        stops += 1
+                continue
             step = max(1, 400_000 // (length * (min(length, self.longest) if expect else 1)))
             for lo in range(0, len(group), step):
                 g = group[lo : lo + step]
@@ -100,6 +117,63 @@ class Lattice:
                     stops += len(g)
         return (out, uses, stops) if expect else out
 
+    def _hits(self, spans: tx.SpanHash, start: int, lo: int, hi: int):
+        """(start, end, piece) of the arcs of one word that end in (lo, hi], by end."""
+        ends = np.arange(lo + 1, hi + 1)
+        found = []
+        for size in range(1, min(self.longest, hi) + 1):
+            e = ends[ends >= size]
+            h = spans(start + e - size, start + e)
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            hit = np.flatnonzero(self.hash[at] == h)
+            found.append(np.stack([e[hit] - size, e[hit], at[hit]]))
+        s, e, at = np.concatenate(found, axis=1)
+        by = np.argsort(e, kind="stable")
+        return s[by], e[by], at[by]
+
+    def _single(self, spans: tx.SpanHash, start: int, length: int, expect: bool):
+        """One word, whatever its length: arcs are found for all places at once, a chunk of ends at a time, and only the sums go place by place."""
+        alpha = np.full(length + 1, -np.inf)
+        alpha[0] = 0.0
+        for lo in range(0, length, ENDS):
+            hi = min(lo + ENDS, length)
+            s, e, at = self._hits(spans, start, lo, hi)
+            base = max(0, lo - self.longest)
+            self._sums(alpha[base : hi + 1], s - base, e - base, self.logp[at])
+        total = float(alpha[length]) + self.stop
+        if not expect:
+            return total, None
+        beta, uses = np.full(length + 1, -np.inf), np.zeros(len(self.hash))
+        beta[length] = self.stop
+        for lo in range((length - 1) // ENDS * ENDS, -1, -ENDS):
+            hi = min(lo + ENDS, length)
+            top = min(length, hi + self.longest)
+            # Arcs that start in [lo, hi), seen from the word's end.
+            s, e, at = self._hits(spans, start, lo, top)
+            own = (s >= lo) & (s < hi)
+            s, e, at = s[own], e[own], at[own]
+            by = np.argsort(-s, kind="stable")
+            back = beta[lo : top + 1][::-1].copy()
+            self._sums(back, top - e[by], top - s[by], self.logp[at[by]])
+            beta[lo : top + 1] = back[::-1]
+            uses += np.bincount(at, np.exp(alpha[s] + self.logp[at] + beta[e] - total), len(self.hash))
+        return total, uses
+
+    @staticmethod
+    def _sums(values: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        """values[t] = log of the sum of exp(values[s] + w) over the arcs (s, t, w), which come by target."""
+        v, src, w = values.tolist(), source.tolist(), weight.tolist()
+        cuts = np.flatnonzero(np.diff(target, prepend=-1, append=-1)).tolist()
+        heads = target[cuts[:-1]].tolist() if len(target) else []
+        for t, lo, hi in zip(heads, cuts[:-1], cuts[1:], strict=True):
+            if hi - lo == 1:
+                v[t] = v[src[lo]] + w[lo]
+                continue
+            terms = [v[src[j]] + w[j] for j in range(lo, hi)]
+            most = max(terms)
+            v[t] = most + math.log(sum([math.exp(x - most) for x in terms])) if most > -math.inf else most
+        values[:] = v
+
     def _same(self, spans: tx.SpanHash, start: np.ndarray, length: int, expect: bool):
         m = len(start)
         alpha = np.full((length + 1, m), -np.inf)
@@ -170,6 +244,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
+def word_weight(words: DataFrame, n: int, ends: int) -> float:
+    """The weight of the whole-word arc: the one of WEIGHTS under which the training tokens are likeliest, each left out of the counts in turn. words: c, lp."""
+    if n < 2:
+        return 0.5
+    own = (F.col("c") - 1) / (n - 1)
+    sums = [F.sum(F.col("c") * F.log(own * w + F.exp(F.greatest(F.col("lp"), F.lit(-700.0))) * (1 - w))) for w in WEIGHTS]
+    row = words.where("c > 0").agg(*sums).first()
+    of_ends = [ends * math.log(max(w * (ends - 1) / (n - 1), 1e-300)) for w in WEIGHTS]
+    return max(zip([(x or 0.0) + e for x, e in zip(row, of_ends, strict=True)], WEIGHTS, strict=True))[1]
+
+
 def corpus_scores(docs: DataFrame, scratch: Scratch, vocabulary: str, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs: doc_id, train boolean, text."""
     spark = docs.sparkSession
@@ -194,24 +279,34 @@ def corpus_scores(docs: DataFrame, scratch: Scratch, vocabulary: str, head: int
     found = words.where("n_train > 0").select("word").mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
     stops = float(found.uses[found.piece == -1].sum())
     if stops:
-        uses = np.exp(lattice.logp) * 10.0
+        uses = np.zeros(len(lattice.hash))
         kept = found[found.piece >= 0]
-        uses[kept.piece.to_numpy()] += kept.uses.to_numpy()
-        lattice.set(uses, min(0.95, max(0.05, stops / (stops + uses[~lattice.opens].sum()))))
+        uses[kept.piece.to_numpy()] = kept.uses.to_numpy()
+        stop = min(0.95, max(0.05, stops / (stops + uses[~lattice.opens].sum())))
+        weight = lattice.scores.copy()
+        for side in (lattice.opens, ~lattice.opens):
+            weight[side] *= SCORES / weight[side].sum()
+            if uses[side].sum():
+                weight[side] += uses[side] * ((1 - SCORES) / uses[side].sum())
+        lattice.set(weight, stop)
     model = spark.sparkContext.broadcast(lattice)
-    back = DISCOUNT * v / n if n else 0.5
 
     def arcs(batches):
         for batch in batches:
             c = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
             lp = model.value.run(*spaced(batch.column(1).to_pylist())) if batch.num_rows else np.zeros(0)
-            own = np.maximum(c - DISCOUNT, 0) / n if n else c * 0
-            score = np.logaddexp(np.log(np.maximum(own, 1e-300)), np.log(back) + lp) / LOG10
             base = np.log10((c + 1) / (n + 1 * (v + 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(c > 0), pa.array(base), pa.array(score)], ["h", "n", "known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(base), pa.array(lp)], ["h", "n", "c", "base", "lp"])
+        tx.release()
 
-    scored = scratch.table(words.mapInArrow(arcs, "h bigint, n bigint, known boolean, base double, score double"), "scores")
+    pieces = scratch.table(words.mapInArrow(arcs, "h bigint, n bigint, c bigint, base double, lp double"), "pieces")
     scratch.drop("words")
+    weight = word_weight(pieces, n, ends)
+    own = F.log(F.col("c") * (weight / max(n, 1)))  # null for words that training lacks
+    apart = F.col("lp") + math.log(1 - weight)
+    high = F.greatest(own, apart)
+    mixed = F.when(F.col("c") > 0, high + F.log1p(F.exp(F.least(own, apart) - high))).otherwise(apart)
+    scored = pieces.select("h", "n", (F.col("c") > 0).alias("known"), "base", (mixed / float(LOG10)).alias("score"))
 
     # Words from a count on that keeps at most `head` of them; counts in 16ths of a doubling, so a bounded histogram.
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -222,7 +317,7 @@ def corpus_scores(docs: DataFrame, scratch: Scratch, vocabulary: str, head: int
     common = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("h", "known", "base", "score")))
     end_c = float(ends)
     end_base = float(np.log10((end_c + 1) / (n + 1 * (v + 1))))
-    end_score = float(np.log10(max(end_c - DISCOUNT, 0) / n + 1e-300)) if ends else float(np.log10(0.5))
+    end_score = math.log10(weight * ends / n) if ends else math.log10(weight)
 
     def sums(batches):
         from pyspark import TaskContext

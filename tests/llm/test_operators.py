@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -216,7 +217,7 @@ def test_lattice_sums_all_segmentations():
         spans = tx.SpanHash(tx.byte_values(np.frombuffer(raw, np.uint8)))
         p = [1.0] + [0.0] * len(raw)
         for e in range(1, len(raw) + 1):
-            for s in range(max(0, e - lm_scoring.LONGEST), e):
+            for s in range(max(0, e - m.longest), e):
                 lp = value.get(int(spans(np.array([s]), np.array([e]))[0]))
                 p[e] += p[s] * math.exp(lp) if lp is not None else 0
         return math.log(p[-1]) + m.stop
@@ -225,6 +226,63 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(m.run(*lm_scoring.spaced(w)), [brute(b" " + x) for x in w])
 
 
+def test_lattice_one_by_one_and_in_lockstep(monkeypatch):
+    """Words of 1 to 500 bytes give the same sums and the same expected uses either way, with chunks of any size."""
+    m = lm_scoring.Lattice(queries.SCORING_VOCABULARY)
+    rng = random.Random(4)
+    w = ["".join(rng.choices("abcdehrstn é", k=n)).replace(" ", "o").encode() for n in (1, 2, 3, 9, 40, 40, 63, 64, 65, 200, 500)]
+    monkeypatch.setattr(lm_scoring, "LOCKSTEP", 0)
+    total, uses, stops = m.run(*lm_scoring.spaced(w), expect=True)
+    for ends in (1 << 14, 64, 1):
+        monkeypatch.setattr(lm_scoring, "LOCKSTEP", 99)
+        monkeypatch.setattr(lm_scoring, "ENDS", ends)
+        t, u, s = m.run(*lm_scoring.spaced(w), expect=True)
+        assert np.allclose(t, total) and np.allclose(u, uses) and s == stops
+
+
+def test_lm_scores_against_brute_force(spark):
+    """Document scores from piece tables, summed without logs of sums; unlikely words keep their own score."""
+    rng = random.Random(6)
+    texts = [prose(rng.randint(1, 60), rng) for _ in range(40)] + ["z" * 500, "qx" * 3000 + " the", "", None]
+    rows = list(enumerate(texts))
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score_documents(table, Scratch(spark, "t"), queries.SCORING_VOCABULARY).collect()}
+    counts = collections.Counter(w for i, t in rows if i not in held for w in words(t))
+    ends = len(rows) - len(held)
+    n = sum(counts.values()) + ends
+    m = lm_scoring.Lattice(queries.SCORING_VOCABULARY)
+    known = sorted(counts)
+    _, uses, stops = m.run(*lm_scoring.spaced([w.encode() for w in known]), expect=True)
+    p = m.scores.copy()
+    for side in (m.opens, ~m.opens):
+        p[side] = lm_scoring.SCORES * p[side] / p[side].sum() + (1 - lm_scoring.SCORES) * uses[side] / uses[side].sum()
+    m.set(p, min(0.95, max(0.05, stops / (stops + uses[~m.opens].sum()))))
+    every = sorted({w for _, t in rows for w in words(t)})
+    lp = dict(zip(every, m.run(*lm_scoring.spaced([w.encode() for w in every])), strict=True))
+
+    def left_out(w):
+        own = sum(c * math.log(w * (c - 1) / (n - 1) + (1 - w) * math.exp(max(lp[x], -700))) for x, c in counts.items())
+        return own + ends * math.log(w * (ends - 1) / (n - 1))
+
+    weight = max(lm_scoring.WEIGHTS, key=left_out)
+    for i, t in rows:
+        want = math.log(weight * ends / n)
+        for x in words(t):
+            both = [math.log(1 - weight) + lp[x]] + ([math.log(weight * counts[x] / n)] if counts[x] else [])
+            want += max(both) + math.log(sum(math.exp(b - max(both)) for b in both))
+        assert math.isclose(got[i].score, want / math.log(10), rel_tol=1e-9), i
+    assert 40 in held and got[40].score < -1000
+
+
+def test_lattice_of_a_word_of_a_megabyte():
+    m = lm_scoring.Lattice(queries.SCORING_VOCABULARY)
+    raw = bytes(random.Random(1).choices(b"ABCDEFGHabcdefgh0123456789+/", k=1 << 20))
+    at = time.process_time()
+    whole = m.run(*lm_scoring.spaced([raw]))[0]
+    assert time.process_time() - at < 60 and -1e8 < whole < -1e6
+
+
 def test_lattice_has_the_longest_pieces():
     import sentencepiece
 
