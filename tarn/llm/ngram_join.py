@@ -6,11 +6,13 @@ frequencies in all documents (hash buckets, so the order is global whatever the
 0.8 or more must share a shingle among the first n - ceil(0.8 n) + 1 of each.
 
 Linked documents only have to end up in one component, and pairs inside a component can't change it. So
-rounds of bounded size come first: each document on a shingle meets a few next to it in a random order that
-changes from round to round, then the documents with most links so far. Components are contracted after
-each. Last, every pair of documents of different components that share a prefix shingle is verified:
+rounds of bounded size come first: each document on a shingle meets the few that have it earliest in their
+order, as the original of a group of copies does, then a few next to it in a random order that changes
+from round to round. Components are contracted after each. Last, every pair of documents of different components that share a prefix shingle is verified:
 no round drops a pair, the earlier ones only leave few. Length and positional filters hold before
-verification, a suffix filter (shingles counted by part of their range) within it.
+verification. Pairs that pass are compared by parity sketches, 2 to 4 bits a shingle: two sets differ in at
+least as many shingles as their sketches do in bits, so what the sketches tell apart needs no
+sets. The others' sets meet once a pair, a suffix filter (shingles counted by part of their range) first.
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing and are their own
 component; fewer than five words are one shingle; repeated rows share their set's component; very long texts are
@@ -36,10 +38,10 @@ SHINGLE = 5
 BUCKETS = 1 << 18
 #: Slices in which tasks hand on their counts of shingles.
 SLICES = 64
-#: Rounds before all pairs that are left: neighbours that a document meets, or documents with most links.
-NEAR, HUBS = (2, 8), 4
-#: A round that merges more than one in so many open documents is followed by another.
-FRUITFUL = 32
+#: Neighbours that a document meets, in the first round and in later ones; documents that all on their shingle meet.
+NEAR, HUBS = (2, 8), 2
+#: A round that links more than one in so many open documents is followed by others.
+FRUITFUL = 1000
 #: Open shingles of a document that are carried to give each pair once.
 LEADING = 16
 #: A shingle in more documents than this is dealt to several tasks.
@@ -163,8 +165,19 @@ def drop_lonely(sorted_postings: DataFrame) -> DataFrame:
     return sorted_postings.mapInArrow(tx.lean(run), schema)
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, ends) of each set's parity sketch: bit h mod b is the parity of the hashes there, b the power of two from 2 n on."""
+    words = 1 << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 32)), 0).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    place = np.repeat(ends[:-1], n) * 64 + (h & (np.repeat(words, n) * 64 - 1).astype(np.uint64)).astype(np.int64)
+    parity = np.zeros(ends[-1] * 64, np.uint8)
+    place, times = np.unique(place, return_counts=True)
+    parity[place] = times & 1
+    return np.packbits(parity, bitorder="little").view(np.int64), ends.astype(np.int32)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(doc, n, hashes in unsigned order) of the documents in wanted (column doc), and of a few more that its bitmap lets through: nothing is shuffled."""
+    """(doc, n, sketch, hashes in unsigned order) of the documents in wanted (column doc), and of a few more that its bitmap lets through: nothing is shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -172,10 +185,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) ->
                 k = len(offsets) - 1
                 h, text = text_sets(data, offsets)
                 n = np.bincount(text, minlength=k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(tx.signed(h)))], ["doc", "n", "hashes"])
+                bits, ends = sketches(h, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(bits)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(tx.signed(h)))], ["doc", "n", "sketch", "hashes"])
 
     likely = docs.where(Bitmap(wanted, "doc").has("doc_id"))
-    return scratch.table(likely.mapInArrow(tx.lean(run), "doc bigint, n bigint, hashes array<bigint>"), name)
+    return scratch.table(likely.mapInArrow(tx.lean(run), "doc bigint, n bigint, sketch array<bigint>, hashes array<bigint>"), name)
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) whose sketches leave room for 0.8. A sketch of twice the length is folded upon itself."""
+    asked = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("doc")), "doc")
+    sets = sets.where(asked.has("doc"))
+    x = sets.select(F.col("doc").alias("a"), F.col("n").alias("xn"), F.col("sketch").alias("x"))
+    y = sets.select(F.col("doc").alias("b"), F.col("n").alias("yn"), F.col("sketch").alias("y"))
+
+    def folded(own: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(own) > half, F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(own)
+
+    apart = F.zip_with(folded(F.col("x"), F.col("y")), folded(F.col("y"), F.col("x")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    n = F.col("xn") + F.col("yn")
+    both = pairs.join(y, "b").join(x, "a")
+    return both.where(F.aggregate(apart, F.lit(0), lambda s, v: s + v) <= n - 2 * least_overlap(F.col("xn"), F.col("yn"))).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,8 +242,11 @@ def may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return similar_lengths(n, m) & (F.least(n - pos, m - at) >= least_overlap(n, m))
 
 
-def neighbours(rows: DataFrame, reach: int, step: int, many: int) -> DataFrame:
-    """Pairs (a, b) of rows (h, doc, n, pos, parts, c) with one shingle and two components that stand at most `reach` apart in a random order of the shingle's documents."""
+def neighbours(rows: DataFrame, reach: int, step: int, many: int, mixed: bool = False) -> DataFrame:
+    """Pairs (a, b) of rows (h, doc, n, pos, parts, c) with one shingle and two components that stand at most `reach` apart in a random order of the shingle's documents.
+
+    The order is the same on all shingles, so documents that share many meet few others; mixed, it is another on each.
+    """
 
     def run(batches):
         carry: pa.RecordBatch | None = None
@@ -235,17 +269,16 @@ def neighbours(rows: DataFrame, reach: int, step: int, many: int) -> DataFrame:
             carry = table.slice(max(0, len(h) - reach))
         tx.release()
 
-    dealt = rows.select("h", F.pmod(F.xxhash64("doc", F.lit(step)), F.col("parts")).cast("int").alias("part"), "doc", "n", "pos", "c", F.xxhash64("doc", F.lit(~step)).alias("o"))
+    dealt = rows.select("h", F.pmod(F.xxhash64("doc", F.lit(step)), F.col("parts")).cast("int").alias("part"), "doc", "n", "pos", "c", F.xxhash64("doc", F.lit(~step), *(["h"] if mixed else [])).alias("o"))
     ordered = dealt.repartition(many, "h", "part").sortWithinPartitions("h", "part", "o")
     return ordered.drop("o").mapInArrow(run, "a bigint, b bigint")
 
 
-def hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows with HUBS documents of their shingle that have most links (a, b) so far: one of each residue class of ids."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("degree"))
-    own = F.struct(F.col("degree").alias("d"), F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("c").alias("yc"))
-    ranked = rows.join(degree, rows.doc == degree.linked, "inner")
-    best = ranked.groupBy("h").agg(*(F.max(F.when(F.pmod(F.xxhash64("doc"), F.lit(HUBS)) == k, own)).alias(f"hub{k}") for k in range(HUBS)))
+def hub_pairs(rows: DataFrame, step: int) -> DataFrame:
+    """Pairs (a, b) of rows with HUBS documents of their shingle, those that have the fewest shingles before it: one of each residue class of ids."""
+    own = F.struct(F.col("pos").alias("yp"), F.col("n").alias("yn"), F.col("doc").alias("y"), F.col("c").alias("yc"))
+    of = F.pmod(F.xxhash64("doc", F.lit(step)), F.lit(HUBS))
+    best = rows.groupBy("h").agg(*(F.min(F.when(of == k, own)).alias(f"hub{k}") for k in range(HUBS)))
     best = best.select("h", F.explode(F.array_compact(F.array(*(f"hub{k}" for k in range(HUBS))))).alias("hub")).select("h", "hub.*")
     met = rows.join(best, "h").where((F.col("c") != F.col("yc")) & may_link(F.col("n"), F.col("pos"), F.col("yn"), F.col("yp")))
     return met.select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b"))
@@ -293,7 +326,6 @@ class Search:
         self.sets = sets_of(docs, wanted, scratch, "sets")
         self.label: DataFrame | None = None
         self.tried: list[DataFrame] = []
-        self.links: list[DataFrame] = []
 
     def rows(self) -> DataFrame:
         """The postings with their documents' components, of shingles that have more than one."""
@@ -307,9 +339,10 @@ class Search:
         for old in self.tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = self.scratch.table(pairs, f"pairs-{self.step}")
-        found = self.scratch.table(verify(pairs, self.sets), f"links-{self.step}")
+        close = self.scratch.table(plausible(pairs, self.sets), f"close-{self.step}")
+        found = self.scratch.table(verify(close, self.sets), f"links-{self.step}")
+        self.scratch.drop(f"close-{self.step}")
         self.tried.append(pairs)
-        self.links.append(found)
         n = found.count()
         if n:
             before = self.label if self.label is not None else found.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -317,14 +350,11 @@ class Search:
         self.step += 1
         return n
 
-    def near(self, reach: int) -> int:
-        return self.round(neighbours(self.rows(), reach, self.step, self.many))
+    def near(self, reach: int, mixed: bool = False) -> int:
+        return self.round(neighbours(self.rows(), reach, self.step, self.many, mixed))
 
     def hubs(self) -> int:
-        every = self.links[0]
-        for more in self.links[1:]:
-            every = every.unionByName(more)
-        return self.round(hub_pairs(self.rows(), every))
+        return self.round(hub_pairs(self.rows(), self.step))
 
     def rest(self) -> int:
         """All pairs that are left."""
@@ -344,15 +374,19 @@ def classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
 
     # Buckets hold the average of all shingles besides; what stands above it is one shingle's own.
     hot = int(HOT + frequency.mean() + 6 * np.sqrt(frequency.mean()))
-    prefixes = prefix_postings(docs, frequency, hot).join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    # Documents that surely aren't copies stay where they are; only those that may be are looked up.
+    copies = every.join(reps, ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id")
+    maybe = Bitmap(copies, "doc_id")
+    sure, doubtful = (prefix_postings(docs.where(x), frequency, hot) for x in (~maybe.has("doc_id"), maybe.has("doc_id")))
+    prefixes = sure.unionByName(doubtful.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"))
     postings = prefixes.select("doc", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"))
     postings = postings.select(F.col("x.prefix").alias("h"), "doc", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), F.col("x.parts").alias("parts"))
     dealt = postings.repartition(many, "h", F.pmod(F.xxhash64("doc"), F.col("parts"))).sortWithinPartitions("h")
     search = Search(docs, scratch.table(drop_lonely(dealt), "postings"), scratch, many)
-    for reach in NEAR:
-        search.near(reach)
-    while search.hubs() * FRUITFUL > search.open:
-        search.near(NEAR[-1])
+    search.hubs()
+    linked = search.near(NEAR[0])
+    while linked * FRUITFUL > search.open:
+        linked = search.near(NEAR[1], mixed=True) + search.hubs()
     search.rest()
 
     label = search.label if search.label is not None else reps.limit(0).select(F.col("rep").alias("id"), F.col("rep").alias("component"))

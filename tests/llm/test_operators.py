@@ -141,7 +141,7 @@ def test_ngram_join_pivots_that_were_tried(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
-@pytest.mark.parametrize(("near", "hot"), [((2, 8), 20_000), ((1,), 3)])
+@pytest.mark.parametrize(("near", "hot"), [((2, 8), 20_000), ((1, 1), 3)])
 def test_ngram_join_of_random_tables(spark, monkeypatch, near, hot):
     """200 tables of chunks and near copies, told apart by their words, in one join; and with frequent shingles dealt to several tasks."""
     monkeypatch.setattr(ngram_join, "NEAR", near)
