@@ -11,8 +11,8 @@ ones never meet.
 
 Edge cases: a null text stays null and an empty one empty; invalid candidates stay as they are; the
 calendar is the proleptic Gregorian one from year 0001 on, so a date of year 0000 is invalid;
-repeated rows each get their row; extra columns are kept unless named like the result columns, which
-replace them.
+repeated rows each get their row; an empty table gives no rows; texts and local parts of any length are taken
+whole. Extra columns are kept, whatever they are called, but for one named like the column of kinds, which replaces it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # What a candidate of each kind looks like. One match is one candidate, the first kind that fits.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*\.?"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*\.?"
 DATE_ISO = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DATE_SLASH = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
@@ -211,20 +211,25 @@ def replacement(c: Column, key: str) -> Column:
     return let(read(c), lambda x: let(F.when(x["p"].isNotNull(), feistel(x["p"]["v"], x["p"]["r"], x["p"]["kind"], key)), lambda q: written(x, q)))
 
 
-def pseudonymize(docs: DataFrame, key: str = "tarn", text: str = "text") -> DataFrame:
-    """docs with `text` pseudonymised and pii array<string>, the kinds replaced in order."""
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: str | None = "pii") -> DataFrame:
+    """docs with `text` pseudonymised and, if it has a name, a column array<string> of the kinds replaced in order.
+
+    Who knows the key can undo the permutation: it belongs with the secrets of whoever runs this.
+    """
+    free = lambda name: name if name not in docs.columns else free(name + "_")
+    at, new = free("_found"), free("_new")
     t = F.col(text)
     some = t.rlike("[0-9@]")
-    found = docs.withColumn("_found", F.when(some, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    with_any = F.size("_found") > 0
-    found = found.withColumn("_new", F.when(with_any, F.transform("_found", lambda c: replacement(c, key))))
+    found = docs.withColumn(at, F.when(some, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    with_any = F.size(at) > 0
+    found = found.withColumn(new, F.when(with_any, F.transform(at, lambda c: replacement(c, key))))
     between = F.split(t, ANY, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(between.alias("a"), F.transform("_new", lambda x: x["text"]).alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
-    kinds = F.coalesce(F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return found.withColumns({text: F.when(with_any, joined).otherwise(t), "pii": kinds}).drop("_found", "_new")
+    joined = F.array_join(F.transform(F.arrays_zip(between.alias("a"), F.transform(new, lambda x: x["text"]).alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
+    replaced = F.coalesce(F.filter(F.transform(new, lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    return found.withColumns({text: F.when(with_any, joined).otherwise(t)} | ({kinds: replaced} if kinds else {})).drop(at, new)
 
 
-def digest(docs: DataFrame, key: str = "tarn") -> DataFrame:
+def digest(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (pseudonymised), n_pii and a count for each kind, of every document."""
     out = pseudonymize(docs.select("doc_id", "text"), key)
     count = lambda kind: F.size(F.filter("pii", lambda k: k == kind)).cast("long").alias(f"n_{kind}")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .runtime import Scratch
+from .runtime import Scratch, bounded_sample
 
 WINDOW = 8
 #: Bounds of the fit: labelled rows, trees, rows a tree.
@@ -183,9 +183,8 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_labelled: i
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     )
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = (
-        counted.where(~F.col("base_failed")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(most_labelled).select("quality", *COUNTS).toPandas()
-    )
+    labelled = counted.where(~F.col("base_failed")).join(known, "doc_id").select(F.xxhash64("doc_id").alias("order"), "doc_id", "quality", *COUNTS)
+    sample = bounded_sample(labelled, "doc_id", most_labelled).toPandas().sort_values(["order", "doc_id", *COUNTS])
     x, y = features(sample[list(COUNTS)].to_numpy().reshape(-1, len(COUNTS))), sample["quality"].to_numpy()
     model = fit(x[y == 1], x[y == 0])
     shared = spark.sparkContext.broadcast(model)

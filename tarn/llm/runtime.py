@@ -89,6 +89,14 @@ class Bitmap:
         return F.getbit(F.get(self.row.scalar(), F.call_function("shiftrightunsigned", place, F.lit(6)).cast("int")), (place % 64).cast("int")) == 1
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` of the rows at the most, chosen by a hash of the key: what goes to the driver is bounded before it is sent."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(97)), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,13 +7,14 @@ weighs the same in both and says nothing. A text's evidence is its log-likelihoo
 under the other, normalised by its length; a logistic curve on it, fitted on folds that the models
 have not seen, gives the score.
 
-Bound: the models are fitted on at most MOST_LABELLED labelled texts (whole texts), chosen by a
+Bound: the models are fitted on about MOST_LABELLED labelled texts at the most (whole texts), chosen by a
 hash of their ids; the models take as many texts of either class, so that neither backs off more
 than the other, and the curve takes all. Statistics of n-grams seen fewer than LEAST times are summed, not kept.
 
 Edge cases: null and empty texts have no evidence and score by the curve's constant; without
 labelled rows of both classes every score is the share of toxic labels, or 0; repeated rows each get their row;
-several labels of one id count as toxic if one is; extra columns are ignored.
+several labels of one id count as toxic if one is; an empty table gives no rows; a text of any length is scored
+whole, one at a time. score() keeps extra columns and expects none named like its own; keep_clean() takes any.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .runtime import ship
+from .runtime import bounded_sample, ship
 
 MOST_LABELLED = 16_000
 #: Counts up to the discount carry no weight of their own: they go to the shared backoff.
@@ -156,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     spark = docs.sparkSession
     ship(spark)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    picked = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).toPandas()
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id"))
+    picked = bounded_sample(there, "doc_id", most_labelled).toPandas().sort_values(["order", "doc_id"], ignore_index=True)
     if picked.toxic.nunique() < 2:
         return float(picked.toxic.mean()) if len(picked) else 0.0
     picked["fold"] = np.arange(len(picked)) % FOLDS
@@ -232,6 +234,12 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, toxic_score double, toxic_ratio double, toxic_words bigint")
 
 
+def keep_clean(docs: DataFrame, model) -> DataFrame:
+    """docs, all columns as they were, without the documents that score CUT or more."""
+    whole = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return score(whole, model).where(F.col("toxic_score") < CUT).select("row.*")
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 

@@ -430,25 +430,84 @@ def test_trigram_queries_are_necessary():
 
 
 def test_pii(spark, docs):
-    out = {r.doc_id: r for r in pii.digest(docs).collect()}
+    out = {r.doc_id: r for r in pii.digest(docs, "k").collect()}
     assert out[0].text is None and out[1].text == "" and out[8].text == BASE
     assert (out[18].n_email, out[18].n_phone, out[18].n_card, out[18].n_date) == (1, 1, 1, 1)
     assert not any(x in out[18].text for x in ("a.b7@", "743) 555", "4785380592391139", "2020-02-29"))
     many = spark.range(3000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 600 + 1, F.col("id") % 90 + 1, F.col("id") + 1).alias("text"))
-    moved = [r.text for r in pii.pseudonymize(many).collect()]
+    moved = [r.text for r in pii.pseudonymize(many, "k").collect()]
     assert len(set(moved)) == 3000 and all(re.fullmatch(r"\d{3}-\d{2}-\d{4}", x) for x in moved)
-    twice = pii.pseudonymize(spark.createDataFrame([("4785380592391139 4785-3805-9239-1139 999.1.1.1 2020-02-30",)], "text string")).first()
+    twice = pii.pseudonymize(spark.createDataFrame([("4785380592391139 4785-3805-9239-1139 999.1.1.1 2020-02-30",)], "text string"), "k").first()
     a, b, c, d = twice.text.split(" ")
     assert a == b.replace("-", "") and sum(map(int, "".join(str(int(x) * (1 + k % 2)) if int(x) * (1 + k % 2) < 10 else str(int(x) * 2 - 9) for k, x in enumerate(reversed(a))))) % 10 == 0
     assert (c, d) == ("999.1.1.1", "2020-02-30")
 
 
+def brute_feistel(values, radices, kind, key):
+    """The permutation written out: rounds change one half by a keyed hash of the other."""
+    v = list(values)
+    half = len(v) // 2
+    for i in range(pii.ROUNDS):
+        first = i % 2 == 0
+        other = v[half:] if first else v[:half]
+        noise = hashlib.sha512(",".join([key, kind, str(i), str(len(v)), *map(str, other)]).encode()).hexdigest()
+        for place, k in enumerate(range(half) if first else range(half, len(v))):
+            v[k] = (v[k] + int(noise[place % 32 * 4 : place % 32 * 4 + 4], 16) + place // 32) % radices[k]
+    return v
+
+
+def test_pii_against_brute_force(spark):
+    rng = random.Random(3)
+    local = ["".join(rng.choices("abcxyz0189.-", k=n)) + "q" for n in (0, 1, 5, 63, 64, 65, 300)]
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(20)]
+    phones = [f"{rng.randrange(200, 999)}-{rng.randrange(100, 999)}-{rng.randrange(10_000):04}" for _ in range(20)]
+    mails = [f"{x}@h.example.org" for x in local]
+    text = " and ".join(ips + phones + mails)
+    rows = [(1, text, 1, "x"), (2, text, 2, "y"), (3, None, 3, ""), (4, "", 4, ""), (1, text, 1, "x"), (5, "no data " * 20_000, 5, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _found int, _new string")
+    got = pii.pseudonymize(table, "key", kinds=None)
+    assert got.columns == table.columns
+    out = {r.doc_id: r for r in got.collect()}
+    assert got.count() == 6 and (out[1]._found, out[1]._new, out[2].text) == (1, "x", out[1].text) and out[3].text is None and out[5].text == rows[5][1]
+    want = [".".join(map(str, brute_feistel(map(int, x.split(".")), [256] * 4, "ipv4", "key"))) for x in ips]
+    for x in phones:
+        d = "".join(map(str, brute_feistel(map(int, x.replace("-", "")), [10] * 10, "phone", "key")))
+        want.append(f"{d[:3]}-{d[3:6]}-{d[6:]}")
+    for x in local:
+        kind = ["0" if c.isdigit() else "a" if c.isalpha() else c for c in x]
+        moved = brute_feistel([int(c) if c.isdigit() else ord(c) - 97 if c.isalpha() else 0 for c in x], [{"0": 10, "a": 26}.get(k, 1) for k in kind], "email", "key")
+        want.append("".join(str(m) if k == "0" else chr(97 + m) if k == "a" else k for m, k in zip(moved, kind, strict=True)) + "@h.example.org")
+    assert out[1].text == " and ".join(want)
+    assert pii.digest(table.limit(0), "key").count() == 0
+
+
+def test_empty_tables_and_clashing_columns(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert toxicity.verdicts(none, labels).count() == 0 and quality.verdicts(none, labels, Scratch(spark, "t")).count() == 0
+    assert secret_scan.digest(none).count() == 0
+    bench = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+    assert chat_format.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1  # the probe
+    odd = spark.createDataFrame([(1, "a b", 0.5, "r", 3), (1, None, None, None, None)], "doc_id long, text string, toxic_score double, `row` string, toxic_words int")
+    for model in (0.0, 0.9):
+        kept = toxicity.keep_clean(odd, model)
+        assert kept.columns == odd.columns and kept.count() == (2 if model < toxicity.CUT else 0)
+
+
+def test_bounded_sample(spark):
+    from tarn.llm.runtime import bounded_sample
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    assert bounded_sample(rows, "doc_id", 20_000).count() == 20_000
+    assert 900 < bounded_sample(rows, "doc_id", 1_000).count() < 1_100
+
+
 def test_pii_dates_of_all_years(spark):
     days = ["0001-01-01", "0885-02-28", "1885-03-04", "1899-12-31", "1900-01-01", "2079-06-06", "2079-06-07", "2080-02-29", "9999-12-31"]
     slash = ["03/04/1885", "25/12/1700", "12/31/9999"]
     left = ["0000-01-01", "1885-02-29", "1900-02-29", "2100-02-29"]
     rows = [(i, x) for i, x in enumerate([*days, *slash, *left])]
-    out = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for i, x in rows:
         assert (out[i].n_date, out[i].text == x) == ((0, True) if x in left else (1, False)), x
         assert re.fullmatch(re.sub("[0-9]", "[0-9]", x), out[i].text)
@@ -459,6 +518,6 @@ def test_pii_dates_of_all_years(spark):
     for first, a, b in pii.DAYS:  # ends of a range and 2,000 days between stay in it, apart from each other
         at = F.floor(F.col("id") * (a * b - 1) / 2001).cast("int")
         some = spark.range(2002).select(F.date_format(F.date_from_unix_date(at + first - 25567), "yyyy-MM-dd").alias("text"))
-        moved = [(datetime.date.fromisoformat(r.text) - datetime.date(1900, 1, 1)).days for r in pii.pseudonymize(some).collect()]
+        moved = [(datetime.date.fromisoformat(r.text) - datetime.date(1900, 1, 1)).days for r in pii.pseudonymize(some, "k").collect()]
         assert len(set(moved)) == 2002 and all(first <= d < first + a * b for d in moved)
     assert pii.DAYS[0][0] == (datetime.date.min - datetime.date(1900, 1, 1)).days and sum(a * b for _, a, b in pii.DAYS) == datetime.date.max.toordinal()
