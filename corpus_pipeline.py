@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate, ngram_join, packing, pii, toxicity
-from tarn.llm.queries import PACKING_TOKENIZER
+from tarn.llm.queries import PACKING_TOKENIZER, PSEUDONYM_KEY
 from tarn.llm.runtime import Scratch, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut; fitted on the labelled ones among them."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxic_score") < toxicity.CUT).select(docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data in its text replaced by pseudonyms."""
-    return pii.pseudonymize(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return pii.pseudonymize(docs, PSEUDONYM_KEY, kinds=None).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
