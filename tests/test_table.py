@@ -16,6 +16,7 @@ from tarn.operators.snapshot import Listing, Snapshot, checkpoint_exists, recent
 from tarn.operators.stats import P
 from tarn.operators.table import LakeTable
 from tarn.sources.coordination import FileLock, FileLogStore, FileState, MemoryLogStore
+from tarn.sources.keyvalue import CacheLock, CacheState, MemoryCache, MemoryTable, TableLock, TableLogStore, TableState
 from tarn.sources.store import FaultyStore, FileStore, HadoopStore
 
 ONE = T.StructType([T.StructField("x", T.LongType())])
@@ -221,13 +222,16 @@ def test_catalogue_queries_use_the_engine(spark, tmp_path, monkeypatch):
     assert ids("retention_filter") == [1, 6] and ids("log_replay_events") == []
 
 
-def test_concurrent_writers(spark, tmp_path):
+@pytest.mark.parametrize("kind", ["file", "table", "cache"])
+def test_concurrent_writers(spark, tmp_path, kind):
     LakeTable(spark, str(tmp_path)).create(A.Metadata(ONE))
     store = FileStore(str(tmp_path))
-    state = FileState(store)
+    rows, cache = MemoryTable(), MemoryCache()
+    state = {"file": lambda: FileState(store), "table": lambda: TableState(rows, "states", "t"), "cache": lambda: CacheState(cache, "t")}[kind]()
+    lock = {"file": lambda: FileLock(str(tmp_path), "_commit.lock"), "table": lambda: TableLock(rows, "locks", "t", pause=0.01), "cache": lambda: CacheLock(cache, "lock", pause=0.01)}[kind]
 
     def write(i):
-        t = LakeTable(spark, str(tmp_path), FileLock(str(tmp_path), "_commit.lock"), state)
+        t = LakeTable(spark, str(tmp_path), lock(), state)
         for k in range(5):
             commit(t, A.add(f"{i}-{k}", 1))
 
@@ -236,10 +240,10 @@ def test_concurrent_writers(spark, tmp_path):
     assert Listing(store).latest() == 40
 
 
-@pytest.mark.parametrize("kind", ["memory", "file"])
+@pytest.mark.parametrize("kind", ["memory", "file", "table"])
 def test_log_store_repairs(spark, tmp_path, kind):
     store = FaultyStore(str(tmp_path / "t"))
-    log = MemoryLogStore() if kind == "memory" else FileLogStore(str(tmp_path / "kv"))
+    log = {"memory": MemoryLogStore, "file": lambda: FileLogStore(str(tmp_path / "kv")), "table": lambda: TableLogStore(MemoryTable(), "log")}[kind]()
     t = LakeTable(spark, store).create(A.Metadata(ONE))
     t.transaction().add_actions(A.add("a", 1)).commit_with_log_store(log)
     store.fail_copy = True
@@ -265,6 +269,32 @@ def test_changes_and_conflicts(spark, tmp_path):
         t.transaction().reading(s, [], True).commit()
 
 
+def test_leases_end(tmp_path):
+    """A holder that hangs loses its lock; it can't take away the next one's."""
+    now = [100.0]
+    rows, cache = MemoryTable(), MemoryCache(lambda: now[0])
+    for make in (lambda: TableLock(rows, "locks", "k", 60, 2, 0, lambda: now[0]), lambda: CacheLock(cache, "k", 60, 2, 0)):
+        one, two = make(), make()
+        assert one.try_lock() and not two.try_lock() and one.sibling("other").try_lock()
+        now[0] += 61
+        assert two.try_lock()
+        with pytest.raises(E.UnableToUnlock):
+            one.unlock()
+        two.unlock()
+        with pytest.raises(E.LockNotObtained), make(), make():
+            pass
+        now[0] += 61
+    one, two = FileLock(str(tmp_path), "k", lease=0.2), FileLock(str(tmp_path), "k")
+    assert one.try_lock() and two.try_lock()  # the second waits for the lease
+    with pytest.raises(E.UnableToUnlock):
+        one.unlock()
+    two.unlock()
+    assert TableState(rows, "states", "new").get() == CacheState(cache, "new").get() == -1
+    cache.set("new", "x")
+    with pytest.raises(E.StateUnreadable):
+        CacheState(cache, "new").get()
+
+
 def test_append_only(spark, tmp_path):
     t = LakeTable(spark, str(tmp_path)).create(A.Metadata(ONE, configuration={"delta.appendOnly": "true"}))
     t.append(spark.range(3).select(F.col("id").alias("x")))
