@@ -4,7 +4,9 @@ A benchmark item of m words is compared with windows of m words of every documen
 64-bit SimHash is the sign of each bit's weighted sum over its shingles; windows of one document
 come from one running sum. A multi-index finds the items within RADIUS bits: fingerprints are cut
 into BLOCKS blocks, and by the pigeonhole principle two within RADIUS agree in at least one block
-up to RADIUS // BLOCKS bits, so no fingerprint within the radius is missed. Candidates
+up to RADIUS // BLOCKS bits, so no fingerprint within the radius is missed. RADIUS is wide enough for
+what LEAST asks (a test measures it on windows of 5 to 400 shingles); with it most windows
+that share a shingle with an item are candidates, so the index saves little of the verification. Candidates
 are verified by the exact weighted Jaccard similarity of their five-word shingles (weight: how often each occurs).
 
 Windows without any shingle of an item of their size have similarity 0 with all of them; only the
@@ -14,7 +16,9 @@ The benchmark is read in blocks of at most MOST_SHINGLES shingles, each broadcas
 more passes over the documents, never a larger broadcast.
 
 Edge cases: null and empty texts, and items without words, match nothing; a text shorter than an
-item is one window, all of it; repeated rows each get their matches; equal similarities keep the first window.
+item is one window, all of it; repeated rows each get their matches; equal similarities keep the first window;
+an empty table on either side gives no matches; texts of any length are read whole, one at a time. leaks() reads
+doc_id and text only; clean() gives all columns back, whatever they are called.
 """
 
 from __future__ import annotations

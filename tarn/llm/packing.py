@@ -8,7 +8,8 @@ size classes, not pieces. Rests are dealt to as many bins of work as the corpus
 their ids; only the last few sequences of each are not full.
 
 Edge cases: a null or empty text is its end id alone; repeated rows each get their pieces; an empty
-table gives no rows; ties in the dot product go to the larger class; extra columns are ignored.
+table gives no rows; ties in the dot product go to the larger class; a text of any length is
+cut into as many pieces as it takes; extra columns are ignored.
 """
 
 from __future__ import annotations

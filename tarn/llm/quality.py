@@ -7,7 +7,7 @@ good ones. Rows are fitted on a bounded sample, `most_labelled`, chosen by a has
 
 Edge cases: null and empty texts have zero statistics and fail the base rule; with fewer than
 LEAST_GOOD good labelled rows that pass the base rule, or no low-quality one, the forest keeps every text that passes it; repeated rows each get their row; ties in the sample are
-broken by id; extra columns are ignored.
+broken by id; an empty table gives no rows; texts of any length are read whole, one at a time; extra columns are ignored.
 """
 
 from __future__ import annotations

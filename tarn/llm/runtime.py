@@ -37,9 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset and driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"tarn-scratch-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -8,7 +8,8 @@ verified with the expression itself. A rule without mandatory trigrams scans eac
 The index folds ASCII case, so it may let too much through but never too little.
 
 Edge cases: a null or empty text has no spans; repeated rows each get their row; other columns are
-ignored; matches of one rule never overlap, those of different rules may.
+ignored; matches of one rule never overlap, those of different rules may; an empty table gives no rows; a
+text of any length is scanned whole; ties (spans from one place) are ordered by kind.
 """
 
 from __future__ import annotations

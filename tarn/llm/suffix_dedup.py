@@ -13,7 +13,9 @@ Every byte covered by a string of SPAN bytes that starts anywhere else in the co
 4. Merging. Shards of a split anchor merge their distinct windows by binary search of sorted digests.
 
 Edge cases: null and empty texts keep nothing and lose nothing; texts below SPAN bytes never match;
-matches may overlap themselves in one text; equal rows repeat each other; an empty table gives no rows.
+matches may overlap themselves in one text; equal rows repeat each other; an empty table gives no rows; a long text is
+read whole, one at a time; ties (equal windows) are all repeated. Only doc_id and the text are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations

@@ -413,6 +413,22 @@ def test_decontamination(spark, docs):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(TEXTS))) - {d for d, _ in want}
 
 
+def test_radius_keeps_what_the_similarity_asks():
+    """Of pairs of windows at a weighted Jaccard similarity from 0.8 to 0.82, all are within the radius; found by the index as well."""
+    rng = np.random.default_rng(12)
+    most, n = 0, 0
+    for size in (10, 20, 50, 100, 400):
+        for _ in range(400):
+            a = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+            b = a.copy()
+            gone = size // 9  # of size + gone distinct shingles, size - gone are common
+            b[rng.choice(size, gone, replace=False)] = rng.integers(1, 1 << 63, gone, dtype=np.uint64)
+            items = decontaminate.Items([7], [a])
+            own = decontaminate.fingerprints(b, np.array([0]), np.array([size]))
+            most, n = max(most, int(decontaminate._POPCOUNT[own ^ items.prints].sum())), n + len(items.candidates(own))
+    assert n == 2000 and most <= decontaminate.RADIUS
+
+
 def test_secret_scan(docs):
     for r in secret_scan.digest(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         found = []
