@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import os
+import threading
 import uuid
 from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import AlreadyCommitted, AmbiguousMerge, AppendOnly, NotATable, ObjectDoesNotExist, ProtocolTooHigh
+from ..errors import AddGenerateStats, AddZeroSize, AlreadyCommitted, AmbiguousMerge, AppendOnly, NotATable, ObjectDoesNotExist, ProtocolTooHigh
 from ..functions import names, settings
 from ..sources.coordination import Lock, MemoryState, NoLock, StateStore
 from ..sources.store import ObjectStore, store_of
@@ -27,18 +30,30 @@ from .stats import P, file_stats
 TARGET_BYTES = 128 << 20
 
 
+_WRITERS: dict[int, tuple[int, dict[str, str]]] = {}
+_GUARD = threading.Lock()
+
+
 @contextlib.contextmanager
 def writing(spark: SparkSession):
-    """Data files have UTC texts and microsecond timestamps, whatever the session says; it gets its settings back."""
+    """Data files have UTC texts and microsecond timestamps, whatever the session says; it gets its settings back when the last of its threads has written."""
     wanted = {"spark.sql.session.timeZone": "UTC", "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
+    with _GUARD:
+        n, before = _WRITERS.get(id(spark), (0, {}))
+        before = before or {k: spark.conf.get(k) for k in wanted}
+        _WRITERS[id(spark)] = (n + 1, before)
         for k, v in wanted.items():
             spark.conf.set(k, v)
+    try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        with _GUARD:
+            n, _ = _WRITERS[id(spark)]
+            _WRITERS[id(spark)] = (n - 1, before)
+            if n == 1:
+                del _WRITERS[id(spark)]
+                for k, v in before.items():
+                    spark.conf.set(k, v)
 
 
 @dataclass
@@ -148,6 +163,32 @@ class LakeTable:
         self.store.delete_folder(staging)
         return adds
 
+    def register(self, paths: list[str]) -> int:
+        """Add Parquet files that lie in the table's folder already, by their paths in it; partition values come from the paths.
+
+        A file of no bytes raises AddZeroSize, one that can't be read AddGenerateStats.
+        """
+        s = self.head()
+        found = {p: self.store.head(p) for p in paths}
+        for p, m in found.items():
+            if not m.size:
+                raise AddZeroSize(p)
+        kind = T.StructType([f for f in s.metadata.schema.fields if f.name not in s.metadata.partition_columns])
+        try:
+            with writing(self.spark):
+                data = self.spark.read.schema(kind).parquet(*map(self.store.uri, paths))
+                rows = file_stats(data).collect()  # a row a file, as many as the adds of the commit
+        except (PySparkException, Py4JJavaError) as e:
+            raise AddGenerateStats(str(e)) from e
+        stats = {unquote(r.path): r.stats for r in rows}
+        adds = []
+        for p, m in found.items():
+            values = dict(x.split("=", 1) for x in os.path.dirname(p).split("/") if "=" in x)
+            values = {unquote(k): None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for k, v in values.items()}
+            text = next((x for at, x in stats.items() if at.endswith("/" + unquote(p))), '{"numRecords":0}')
+            adds.append(A.add(quote(p, safe="/=-_.~ "), m.size, values, text, m.modified_ms))
+        return self.transaction().add_actions(*adds).set_operation(A.write_info("Append", s.metadata.partition_columns)).commit()
+
     def append(self, rows: DataFrame, txn: tuple[str, int] | None = None, info: dict | None = None) -> int:
         """A blind append; with txn (application, version), once only."""
         s = self.head(txn[0] if txn else None)

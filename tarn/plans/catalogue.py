@@ -497,6 +497,16 @@ def merge_duplicates(spark, d):
     return t.read().withColumn("refused", F.lit(refused))
 
 
+@query("SELECT *, true AS counted FROM customer")
+def register_files(spark, d):
+    """Files that another job wrote into the folder become the table's, with statistics."""
+    c = src(spark, d, "customer")
+    t = new_table(spark).create(A.Metadata(c.schema, ["c_mktsegment"]))
+    c.write.partitionBy("c_mktsegment").parquet(t.store.uri("from_a_job"))
+    t.register([m.path for m in t.store.list("from_a_job/") if m.path.endswith(".parquet")])
+    return t.read().select(c.columns).withColumn("counted", F.lit(t.snapshot().row_count() == c.count()))
+
+
 @query("SELECT * FROM orders WHERE o_orderkey % 4 < 2")
 def restore_version(spark, d):
     t = sliced(spark, src(spark, d, "orders"), "o_orderkey")

@@ -269,6 +269,18 @@ def test_changes_and_conflicts(spark, tmp_path):
         t.transaction().reading(s, [], True).commit()
 
 
+def test_register_refuses(spark, table):
+    table.store.put("none.parquet", b"")
+    table.store.put("spoilt.parquet", b"no parquet")
+    with pytest.raises(E.AddZeroSize):
+        table.register(["none.parquet"])
+    with pytest.raises(E.AddGenerateStats):
+        table.register(["spoilt.parquet"])
+    with pytest.raises(E.ObjectDoesNotExist):
+        table.register(["absent.parquet"])
+    assert table.latest_version() == 0
+
+
 def test_leases_end(tmp_path):
     """A holder that hangs loses its lock; it can't take away the next one's."""
     now = [100.0]
