@@ -207,6 +207,15 @@ def file_stats_timestamp_ms(spark, d):
     return _slice_files(spark, src(spark, d, "events"), "event_id").select("slice", F.get_json_object("stats", "$.minValues.ts").alias("lo"), F.get_json_object("stats", "$.maxValues.ts").alias("hi"))
 
 
+@query("SELECT CAST(event_id % 4 AS INTEGER) AS slice, strftime(min(ts), '%H:%M:%S.%g') AS first_time FROM events GROUP BY 1")
+def time_of_day_bounds(spark, d):
+    """Times of the day as numbers, in the three units, and as the texts of statistics."""
+    first = src(spark, d, "events").groupBy((F.col("event_id") % 4).cast("int").alias("slice")).agg(F.min("ts").alias("t"))
+    micros = F.unix_micros(F.col("t").cast("timestamp")) % 86_400_000_000
+    texts = first.select("slice", *(bounds.time_text(x, u).alias(u) for u, x in (("micros", micros), ("nanos", micros * 1000), ("millis", F.floor(micros / 1000)))))
+    return texts.where("micros = nanos AND micros = millis").select("slice", F.col("micros").alias("first_time"))
+
+
 @query("SELECT CAST(event_id % 4 AS INTEGER) AS slice, count(*) AS n, count(*) - count(nullif(event_type, 'click')) AS nulls FROM events GROUP BY 1")
 def file_stats_nulls(spark, d):
     rows = src(spark, d, "events").withColumn("event_type", F.nullif("event_type", F.lit("click")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import shutil
+import tempfile
 import uuid
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
@@ -11,6 +14,35 @@ from dataclasses import dataclass
 from ..errors import CopyObject, DeleteObject, ObjectAlreadyExists, ObjectDoesNotExist, ObjectIsDir
 
 
+class Reader(io.RawIOBase):
+    """A stored object as a file that can be sought in: each read asks the store for that range only."""
+
+    def __init__(self, store: ObjectStore, path: str):
+        self.store, self.path, self.size, self.at = store, path, store.head(path).size, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        at = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.size}[whence]
+        if at < 0:
+            raise ValueError(f"place {at}")
+        self.at = at
+        return at
+
+    def tell(self) -> int:
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        part = self.store.read_at(self.path, self.at, len(buffer)) if self.at < self.size else b""
+        buffer[: len(part)] = part
+        self.at += len(part)
+        return len(part)
+
+
 @dataclass(frozen=True)
 class Meta:
     path: str
@@ -22,6 +54,8 @@ class ObjectStore(ABC):
     """Paths are relative to `base`."""
 
     base: str
+    #: Whether list() and folder() give paths in order.
+    ordered = True
 
     @abstractmethod
     def put(self, path: str, data: bytes) -> None: ...
@@ -50,6 +84,17 @@ class ObjectStore(ABC):
     def read_at(self, path: str, offset: int, size: int) -> bytes:
         return self.get(path)[offset : offset + size]
 
+    def open(self, path: str) -> io.BufferedReader:
+        return io.BufferedReader(Reader(self, path))
+
+    @contextlib.contextmanager
+    def writer(self, path: str):
+        """A file to write to; the object is there, whole, once the block ends well."""
+        with tempfile.TemporaryFile() as f:
+            yield f
+            f.seek(0)
+            self.put(path, f.read())
+
     def uri(self, path: str = "") -> str:
         return f"{self.base}/{path}" if path else self.base
 

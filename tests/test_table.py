@@ -281,6 +281,21 @@ def test_register_refuses(spark, table):
     assert table.latest_version() == 0
 
 
+def test_objects_as_files(tmp_path):
+    store = FileStore(str(tmp_path))
+    with store.writer("a/b") as f:
+        f.write(b"0123456789")
+    with store.open("a/b") as f:
+        assert f.read(3) == b"012" and f.seek(-2, 2) == 8 and f.read() == b"89" and f.read() == b""
+        f.seek(1)
+        assert f.read(2) == b"12" and f.tell() == 3
+    with pytest.raises(RuntimeError), store.writer("a/c"):
+        raise RuntimeError
+    assert [m.path for m in store.list("a/")] == ["a/b"] and store.ordered
+    with pytest.raises(E.ObjectDoesNotExist):
+        store.open("a/c")
+
+
 def test_leases_end(tmp_path):
     """A holder that hangs loses its lock; it can't take away the next one's."""
     now = [100.0]
