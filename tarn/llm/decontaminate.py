@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_shingles: int = MOST_SHING
                         cols = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 2 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCH)
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tx.lean(run), MATCH)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -198,5 +198,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_shingl
                     keep[[lo + t for t, *_ in shared.value.matches(data, offsets)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tx.lean(run), docs.schema)
     return docs

@@ -240,7 +240,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if kept:
             yield pa.RecordBatch.from_pandas(merged(), preserve_index=False)
 
-    rows = docs.select("train", F.col("text").cast("string")).mapInArrow(run, WORD)
+    rows = docs.select("train", F.col("text").cast("string")).mapInArrow(tx.lean(run), WORD)
     return rows.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
@@ -276,7 +276,7 @@ def corpus_scores(docs: DataFrame, scratch: Scratch, vocabulary: str, head: int
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(uses[at], stops))], ["piece", "uses"])
 
     # One row a piece and task, summed: bounded by the vocabulary.
-    found = words.where("n_train > 0").select("word").mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
+    found = words.where("n_train > 0").select("word").mapInArrow(tx.lean(expect), "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
     stops = float(found.uses[found.piece == -1].sum())
     if stops:
         uses = np.zeros(len(lattice.hash))
@@ -345,7 +345,7 @@ def corpus_scores(docs: DataFrame, scratch: Scratch, vocabulary: str, head: int
                     m = len(key)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[key.text.to_numpy()]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(key.h.to_numpy()), pa.array(key.n.to_numpy()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "train", F.col("text").cast("string")).mapInArrow(sums, "row bigint, doc_id bigint, held_out boolean, h bigint, n bigint, known bigint, base double, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "train", F.col("text").cast("string")).mapInArrow(tx.lean(sums), "row bigint, doc_id bigint, held_out boolean, h bigint, n bigint, known bigint, base double, score double")
     rows = scratch.table(rows, "rows")
     tail = rows.where("h is not null").select("row", "h", F.col("n").alias("tf")).join(scored.where(level < least).select("h", F.col("known").cast("long").alias("k"), "base", "score"), "h")
     tail = tail.groupBy("row").agg(F.sum(F.col("tf") * F.col("k")).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"), F.sum(F.col("tf") * F.col("score")).alias("s"))

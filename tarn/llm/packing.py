@@ -29,7 +29,7 @@ from .runtime import Scratch, ship
 
 END_ID = 2
 #: Distinct parts of words whose ids a worker keeps; with more it starts anew.
-MOST_WORDS = 1_200_000
+MOST_WORDS = 300_000
 #: Rests in one bin of work.
 WORK = 20_000
 
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
                     batch.column(0).take(pa.array(lo + doc)), pa.array(k), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc]), pa.array(length - (k == 0))
                 ], ["doc_id", "part", "start", "length", "ids_crc32", "doc_tokens", "loss"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tx.lean(run), PIECE)
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def pack_pieces(cut: DataFrame, tokens: int, segments: int, loss: int, work: int
             yield g.drop(columns="bin").assign(sequence_id=(np.int64(number) << 32) + seq, offset=offset)
 
     rests = cut.where(F.col("length") < tokens).withColumn("bin", F.pmod(F.xxhash64("doc_id", "part", "ids_crc32"), F.lit(many)))
-    rests = rests.repartition(many, "bin").mapInPandas(run, PIECE + ", sequence_id bigint, offset bigint")
+    rests = rests.repartition(many, "bin").mapInPandas(tx.lean(run), PIECE + ", sequence_id bigint, offset bigint")
     full = cut.where(F.col("length") >= tokens).withColumns({"sequence_id": F.monotonically_increasing_id() - F.lit(1 << 62), "offset": F.lit(0).cast("long")})
     return rests.unionByName(full)
 

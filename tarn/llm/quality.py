@@ -90,7 +90,7 @@ def rule_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, i].astype(np.int64)) for i in range(len(COUNTS)))], ["key", *COUNTS])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(tx.lean(run), f"key {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
     return out.withColumnRenamed("key", key)
 
 
@@ -200,7 +200,7 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_labelled: i
             yield f
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema) + ", anomaly double, kept boolean"
-    return counted.mapInPandas(run, schema)
+    return counted.mapInPandas(tx.lean(run), schema)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:

@@ -206,7 +206,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["key", "secrets"])
 
     key_type = docs.schema[key].dataType.simpleString()
-    out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, f"key {key_type}, secrets array<struct<kind string, start bigint, end bigint>>")
+    out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(tx.lean(run), f"key {key_type}, secrets array<struct<kind string, start bigint, end bigint>>")
     return out.withColumnRenamed("key", key)
 
 

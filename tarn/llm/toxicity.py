@@ -148,7 +148,7 @@ def gram_types(sample: DataFrame) -> DataFrame:
                 out = pd.DataFrame({"triple": tx.signed(triple), "gram": tx.signed(pair), "context": tx.signed(before), "ends": tx.signed(h), "m0": bit * (toxic[lo + text] == 0), "m1": bit * (toxic[lo + text] == 1)})
                 yield pa.RecordBatch.from_pandas(out.astype("int64"), preserve_index=False)
 
-    rows = sample.select(F.col("text").cast("string"), "toxic", "fold").mapInArrow(run, "triple bigint, gram bigint, context bigint, ends bigint, m0 bigint, m1 bigint")
+    rows = sample.select(F.col("text").cast("string"), "toxic", "fold").mapInArrow(tx.lean(run), "triple bigint, gram bigint, context bigint, ends bigint, m0 bigint, m1 bigint")
     return rows.groupBy("triple", "gram", "context", "ends").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"))
 
 
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
                 sizes[lo : lo + n] = np.bincount(text[distinct(pair, text)], minlength=n)
             yield pa.RecordBatch.from_arrays([pa.array(ratios[0]), pa.array(ratios[1]), pa.array(sizes), batch.column(1)], ["ratio", "strong", "n", "toxic"])
 
-    seen = sample.select(F.col("text").cast("string"), "toxic", "fold").mapInArrow(evidence, "ratio double, strong double, n double, toxic bigint").toPandas()
+    seen = sample.select(F.col("text").cast("string"), "toxic", "fold").mapInArrow(tx.lean(evidence), "ratio double, strong double, n double, toxic bigint").toPandas()
     held.destroy()
     return model(None), logistic(inputs(seen[["ratio", "strong"]].to_numpy().T, seen.n.to_numpy()), seen.toxic.to_numpy(float))
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "toxic_score", "toxic_ratio", "toxic_words"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, toxic_score double, toxic_ratio double, toxic_words bigint")
+    return docs.mapInArrow(tx.lean(run), f"{schema}, toxic_score double, toxic_ratio double, toxic_words bigint")
 
 
 def keep_clean(docs: DataFrame, model) -> DataFrame:
