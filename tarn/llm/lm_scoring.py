@@ -38,8 +38,9 @@ LOG10 = np.log(10)
 SCORES = 0.1
 #: Weights of the whole-word arc that are tried.
 WEIGHTS = (0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995)
-#: Words of one length that go through the lattice in lockstep at least; fewer go one by one. Ends of a word looked at once.
-LOCKSTEP, ENDS = 32, 1 << 14
+#: Words of one length go through the lattice in lockstep, but one by one where they are fewer than about a third of
+#: their length (a hundred at the most), which is quicker then. Ends of a word looked at once.
+LOCKSTEP, ENDS = 1, 1 << 14
 
 
 class Lattice:
@@ -100,7 +101,7 @@ class Lattice:
             length = int(size[group[0]]) if len(group) else 0
             if not length:
                 continue
-            if len(group) < LOCKSTEP:
+            if len(group) < LOCKSTEP * length / (3 + length / 100):
                 for g in group.tolist():
                     out[g], u = self._single(spans, int(offsets[g]), length, expect)
                     if expect:
