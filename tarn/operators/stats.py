@@ -24,7 +24,12 @@ def file_stats(rows: DataFrame, partition_columns: list[str] | None = None, by:
                 into.append(F.col(f"{name}{i}").alias(f.name))
         nulls.append(F.col(f"n{i}").alias(f.name))
     keys = by or [F.col("_metadata.file_path").alias("path")]
-    out = rows.groupBy(*keys).agg(*counts)
+    out = rows.groupBy(*keys)
+    if any(isinstance(f.dataType, T.StringType) for f in data):
+        # Spark sorts all rows by file for bounds of texts, unless an aggregate of objects, here of none, stands beside them: then files are kept in a hash table.
+        out = out.agg(*counts, F.size(F.collect_list(F.lit(None).cast("int"))).alias("objects")).where("objects = 0").drop("objects")
+    else:
+        out = out.agg(*counts)
     none = F.create_map().cast("map<string,string>")
     part = lambda cols: F.struct(*cols) if cols else none
     body = F.struct("numRecords", F.lit(False).alias("tightBounds"), part(low).alias("minValues"), part(high).alias("maxValues"), part(nulls).alias("nullCount"))
