@@ -28,6 +28,8 @@ from .stats import P, file_stats
 
 #: Size of the files that optimize() makes.
 TARGET_BYTES = 128 << 20
+#: Files of partitions that a task has open at once; the rows of more of them are sorted first.
+OPEN_FILES = 16
 
 
 _WRITERS: dict[int, tuple[int, dict[str, str]]] = {}
@@ -36,8 +38,9 @@ _GUARD = threading.Lock()
 
 @contextlib.contextmanager
 def writing(spark: SparkSession):
-    """Data files have UTC texts and microsecond timestamps, whatever the session says; it gets its settings back when the last of its threads has written."""
-    wanted = {"spark.sql.session.timeZone": "UTC", "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+    """Data files have UTC texts and microsecond timestamps, whatever the session says, and tasks keep the files of a few partitions open instead of sorting
+    their rows; the session gets its settings back when the last of its threads has written."""
+    wanted = {"spark.sql.session.timeZone": "UTC", "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS", "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
     with _GUARD:
         n, before = _WRITERS.get(id(spark), (0, {}))
         before = before or {k: spark.conf.get(k) for k in wanted}
