@@ -293,8 +293,8 @@ class LakeTable:
             return s.version
         files = max(1, -(-sum(r.size for r in touched) // target_bytes))
         rows, columns = read_files(s, [r.path for r in touched]), s.metadata.partition_columns
-        # A partition's rows meet in one task up to the target size, and in several beyond it.
-        rows = rows.repartition(files + len({str(r.partitionValues) for r in touched}) - 1, *columns, F.pmod(F.xxhash64(*rows.columns), F.lit(files))) if columns and files > 1 else rows.repartition(files, *columns)
+        # A partition's rows meet in one task up to the target size, and in several beyond it; different partitions are dealt to as many tasks.
+        rows = rows.repartition(files + len({str(r.partitionValues) for r in touched}) - 1, *columns, F.pmod(F.xxhash64(*rows.columns), F.lit(files))) if columns else rows.repartition(files)
         return self._change(s, touched, rows, A.write_info("Optimize"), data_change=False, everything=False, optimize=True)
 
     def restore(self, version: int) -> int:
