@@ -24,7 +24,6 @@ columns back as they were.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,26 +214,26 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Only sets of the pairs' documents are shuffled; a bitmap of these holds the others back at the scan.
     """
 
-    def run(frames):
+    def run(batches):
         cuts = np.array([1 << 62, 1 << 63, 3 << 62], np.uint64)
-        for f in frames:
-            keep = np.zeros(len(f), bool)
-            for i, (x, y) in enumerate(zip(f.x, f.y, strict=True)):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            (xs, xe), (ys, ye) = ((c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in map(batch.column, ("x", "y")))
+            for i in range(len(keep)):
+                x, y = xs[xe[i] : xe[i + 1]], ys[ye[i] : ye[i + 1]]
                 need = -(-4 * (len(x) + len(y)) // 9)
-                x, y = x.view(np.uint64), y.view(np.uint64)
                 p, q = np.diff([0, *np.searchsorted(x, cuts), len(x)]), np.diff([0, *np.searchsorted(y, cuts), len(y)])
                 if np.minimum(p, q).sum() >= need:
                     both = np.concatenate([x, y])
                     both.sort()
                     keep[i] = (both[1:] == both[:-1]).sum() >= need
-            yield f.loc[keep, ["a", "b"]]
-        tx.release()
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     asked = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("doc")), "doc")
     sets = sets.where(asked.has("doc")).select("doc", "hashes")
     x = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(y, "b").join(x, "a").mapInPandas(run, "a bigint, b bigint")
+    return pairs.join(y, "b").join(x, "a").mapInArrow(tx.lean(run), "a bigint, b bigint")
 
 
 def may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -267,11 +266,10 @@ def neighbours(rows: DataFrame, reach: int, step: int, many: int, mixed: bool =
                 a, b = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             carry = table.slice(max(0, len(h) - reach))
-        tx.release()
 
     dealt = rows.select("h", F.pmod(F.xxhash64("doc", F.lit(step)), F.col("parts")).cast("int").alias("part"), "doc", "n", "pos", "c", F.xxhash64("doc", F.lit(~step), *(["h"] if mixed else [])).alias("o"))
     ordered = dealt.repartition(many, "h", "part").sortWithinPartitions("h", "part", "o")
-    return ordered.drop("o").mapInArrow(run, "a bigint, b bigint")
+    return ordered.drop("o").mapInArrow(tx.lean(run), "a bigint, b bigint")
 
 
 def hub_pairs(rows: DataFrame, step: int) -> DataFrame:

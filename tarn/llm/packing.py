@@ -19,7 +19,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,14 +126,14 @@ _LATER = iter(range(256, 512))
 _SHOWN = [next(_LATER) if c is None else c for c in _SHOWN]
 #: 1 letter, 2 digit, 3 other ASCII, 4 what the rule may join or cut in its own way.
 _KIND = np.array([4 if c >= 128 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.int8)
-_KEPT: dict[str, Tokens] = {}
 
 
 def coder_of(path: str) -> Tokens:
-    """One for each vocabulary and worker, so its words last over tasks."""
-    if path not in _KEPT:
-        _KEPT[path] = Tokens(path)
-    return _KEPT[path]
+    """One for each vocabulary and worker, so its words last over tasks of this kind."""
+    kept = tx.KEPT.setdefault(__name__, {})
+    if path not in kept:
+        kept[path] = Tokens(path)
+    return kept[path]
 
 
 PIECE = "doc_id bigint, part bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss bigint"
@@ -161,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
                     batch.column(0).take(pa.array(lo + doc)), pa.array(k), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc]), pa.array(length - (k == 0))
                 ], ["doc_id", "part", "start", "length", "ids_crc32", "doc_tokens", "loss"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tx.lean(run), PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tx.lean(run, __name__), PIECE)
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,19 +202,23 @@ def pack_pieces(cut: DataFrame, tokens: int, segments: int, loss: int, work: int
     """cut with sequence_id and offset; cut must be a written table, as it is counted first."""
     many = max(1, -(-cut.where(F.col("length") < tokens).count() // work))
     limits = np.array([tokens, segments, loss])
-    columns = ["doc_id", "part", "start", "length", "ids_crc32", "doc_tokens", "loss"]
 
-    def run(frames):
+    def run(batches):
         # One bin of work after another; each has about `work` rows, numbers only.
-        f = pd.concat(list(frames) or [pd.DataFrame(columns=[*columns, "bin"])])
-        for number, g in f.groupby("bin"):
-            g = g.sort_values(["doc_id", "part", "ids_crc32"])
-            sizes = np.stack([g.length.to_numpy(np.int64), np.ones(len(g), np.int64), g.loss.to_numpy(np.int64)], axis=1)
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in ("bin", "doc_id", "part", "ids_crc32")]).combine_chunks()
+        bins = rows.column("bin").to_numpy()
+        cuts = [0, *(np.flatnonzero(bins[1:] != bins[:-1]) + 1).tolist(), len(bins)]
+        for lo, hi in itertools.pairwise(cuts):
+            g = rows.slice(lo, hi - lo).drop_columns("bin")
+            sizes = np.stack([g.column("length").to_numpy(), np.ones(hi - lo, np.int64), g.column("loss").to_numpy()], axis=1)
             seq, offset = pack(sizes, limits)
-            yield g.drop(columns="bin").assign(sequence_id=(np.int64(number) << 32) + seq, offset=offset)
+            yield from g.append_column("sequence_id", pa.array((np.int64(bins[lo]) << 32) + seq)).append_column("offset", pa.array(offset)).to_batches()
 
     rests = cut.where(F.col("length") < tokens).withColumn("bin", F.pmod(F.xxhash64("doc_id", "part", "ids_crc32"), F.lit(many)))
-    rests = rests.repartition(many, "bin").mapInPandas(tx.lean(run), PIECE + ", sequence_id bigint, offset bigint")
+    rests = rests.repartition(many, "bin").mapInArrow(tx.lean(run), PIECE + ", sequence_id bigint, offset bigint")
     full = cut.where(F.col("length") >= tokens).withColumns({"sequence_id": F.monotonically_increasing_id() - F.lit(1 << 62), "offset": F.lit(0).cast("long")})
     return rests.unionByName(full)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_GAVE_BACK: dict[str, float] = {}
+#: Seconds between two calls of give_back() that collect.
+COLLECT_S = 15
 #: Most words of 64 bits in a Bitmap: 8 MB.
 MOST_WORDS = 1 << 20
 #: Bytes of rows that a Python worker is handed at once, where the session doesn't say.
@@ -36,6 +40,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def give_back(spark: SparkSession, every: float = COLLECT_S) -> None:
+    """Executors collect their garbage and hand the heap that is free then back to the system; not more often than `every` seconds.
+
+    A heap that one step has blown up would stand, empty, beside the next step's Python workers. A task for each core: all executors get some.
+    """
+    app, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - _GAVE_BACK.get(app, -every) < every:
+        return
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).where(F.java_method(F.lit("java.lang.System"), F.lit("gc")) == "").write.format("noop").mode("overwrite").save()
+    _GAVE_BACK[app] = time.monotonic()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where it is unset and driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -55,6 +72,7 @@ class Scratch:
         if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        give_back(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a Parquet table and read it back. Nothing reads the shuffles behind it again: the driver lets go of them, so that executors delete their files."""
@@ -62,6 +80,7 @@ class Scratch:
         schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
         self.spark.sparkContext._jvm.java.lang.System.gc()
+        give_back(self.spark)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -171,10 +171,24 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(run):
-    """run, a function of batches, with its memory released at the end."""
+#: What tasks keep in a worker for later ones, by who keeps it.
+KEPT: dict[str, dict] = {}
+
+
+def forget(keeps: str = "") -> None:
+    """Drop what tasks of other kinds have kept in this worker: a vocabulary doesn't stay through the stages that follow."""
+    others = [k for k in KEPT if k != keeps]
+    for k in others:
+        del KEPT[k]
+    if others:
+        release()
+
+
+def lean(run, keeps: str = ""):
+    """run, a function of batches, with its memory released at the end; of what is kept in the worker only `keeps` outlasts its start."""
 
     def wrapped(batches):
+        forget(keeps)
         yield from run(batches)
         release()
 

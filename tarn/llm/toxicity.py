@@ -19,14 +19,18 @@ whole, one at a time. score() keeps extra columns and expects none named like it
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .runtime import bounded_sample, ship
+from .runtime import bounded_sample, give_back, ship
+
+if TYPE_CHECKING:
+    import pandas as pd  # not in workers, which would keep it
 
 MOST_LABELLED = 16_000
 #: Counts up to the discount carry no weight of their own: they go to the shared backoff.
@@ -145,8 +149,8 @@ def gram_types(sample: DataFrame) -> DataFrame:
                 before = np.where(start, _START, np.append(_START, h[:-1]))
                 triple = tx.mix(np.where(start, _START, np.append(_START, pair[:-1])) * np.uint64(5) + h)
                 bit = 1 << fold[lo + text]
-                out = pd.DataFrame({"triple": tx.signed(triple), "gram": tx.signed(pair), "context": tx.signed(before), "ends": tx.signed(h), "m0": bit * (toxic[lo + text] == 0), "m1": bit * (toxic[lo + text] == 1)})
-                yield pa.RecordBatch.from_pandas(out.astype("int64"), preserve_index=False)
+                out = {"triple": tx.signed(triple), "gram": tx.signed(pair), "context": tx.signed(before), "ends": tx.signed(h), "m0": bit * (toxic[lo + text] == 0), "m1": bit * (toxic[lo + text] == 1)}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     rows = sample.select(F.col("text").cast("string"), "toxic", "fold").mapInArrow(tx.lean(run), "triple bigint, gram bigint, context bigint, ends bigint, m0 bigint, m1 bigint")
     return rows.groupBy("triple", "gram", "context", "ends").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"))
@@ -156,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     """The models and the curve's weights, from labelled rows of docs; or the share of toxic ones where a class is missing."""
     spark = docs.sparkSession
     ship(spark)
+    give_back(spark)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     there = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id"))
     picked = bounded_sample(there, "doc_id", most_labelled).toPandas().sort_values(["order", "doc_id"], ignore_index=True)
@@ -166,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     place = picked.groupby("toxic").cumcount()
     picked["teach"] = (place < picked.toxic.value_counts().min()).astype(int)
     # picked has at most most_labelled rows of three numbers.
-    rows = spark.createDataFrame([tuple(map(int, r)) for r in picked[["doc_id", "toxic", "fold", "teach"]].to_numpy()], "doc_id bigint, toxic bigint, fold bigint, teach bigint")
+    # An Arrow table: a list would go through Python workers of a second kind, which stay beside the others.
+    rows = spark.createDataFrame(pa.table({c: pa.array(picked[c].to_numpy(), pa.int64()) for c in ("doc_id", "toxic", "fold", "teach")}))
     sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     without = [None, *range(FOLDS)]
     names = [(f, c, f"n{f}_{c}") for f in without for c in (0, 1)]
